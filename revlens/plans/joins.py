@@ -1,0 +1,21 @@
+"""Join planning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it is proven to have at most this many rows.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast only after checking the side really is small.
+
+    The check is a ``limit(max_rows + 1).count()`` (stops early; Parquet
+    answers it from footers for a bare scan).  Above the bound the frame is
+    returned unhinted and the planner picks a shuffle join (AQE may still
+    convert it to a broadcast from runtime statistics).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, time window or stateful operator:
+every statement is a batch query over a full table.  All revlens operators
+are plain DataFrame transformations, so they can be applied unchanged inside
+``foreachBatch`` of a Structured Streaming query if a user wants
+micro-batch refreshes; no streaming-specific operator is provided.
+"""
