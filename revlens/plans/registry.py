@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, IntegerType, ShortType
 
 from revlens import operators as ops
-from revlens.sources.store import sales_table
+from revlens.sources.store import clean_table, sales_table
 
 RAW, CLEAN = "raw", "clean"
 
@@ -92,8 +92,8 @@ def report(df: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     kind, op = CATALOG[key]
-    raw = sales_table(spark, sf_dir)
-    return report(op(raw if kind == RAW else ops.clean(raw)))
+    source = sales_table(spark, sf_dir) if kind == RAW else clean_table(spark, sf_dir)
+    return report(op(source))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

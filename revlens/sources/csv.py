@@ -54,6 +54,13 @@ def save_raw(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_csv(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write sales rows as header CSV in RAW_SCHEMA column order (input for ``load_csv``)."""
-    raw.select(*RAW_SCHEMA.fieldNames()).write.mode(mode).option("header", True).option(
-        "dateFormat", "yyyy-MM-dd"
-    ).csv(path)
+    # The CSV writer trims text by default; raw text must round-trip untouched (padding is data here).
+    (
+        raw.select(*RAW_SCHEMA.fieldNames())
+        .write.mode(mode)
+        .option("header", True)
+        .option("dateFormat", "yyyy-MM-dd")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
