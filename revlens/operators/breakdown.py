@@ -3,7 +3,8 @@
 ``revenue_breakdown(C, by, measures)`` aggregates once (partial aggregation
 map-side, one shuffle on the group keys) and derives ratios from the
 aggregated columns.  A grand-total share is a scalar subquery over the
-aggregated rows (one number, no window that pulls every group into one task);
+aggregated rows, which are frozen first so the fact is scanned only once (one
+number, no window that pulls every group into one task);
 a share within a sub-key is a window over the aggregated rows partitioned by
 that key.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from revlens.functions.numeric import exact_avg, money, pct, round_ratio
 from revlens.operators import labels
 from revlens.operators.ordering import pg_order, pg_sort_keys
+from revlens.session import freeze
 
 # measure kind -> (aggregates it needs, final expression over them)
 _AGGS = {
@@ -79,8 +81,12 @@ def revenue_breakdown(
 
     if any(kind == "share_pct" for _, kind in measures):
         if share_within:
+            # Window over the aggregated rows, one partition per share_within key.
             total = F.sum("_rev").over(Window.partitionBy(*share_within))
         else:
+            # Freeze the aggregated rows (one per group) so the grand total is read
+            # from them, not from a second scan of the fact; no single-task window.
+            grouped = freeze(grouped)
             total = grouped.select(F.sum("_rev")).scalar()
         grouped = grouped.withColumn("_total_rev", total)
 

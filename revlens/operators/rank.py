@@ -125,34 +125,55 @@ def rank_ntile(
 def percentiles_cont(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact PERCENTILE_CONT(f) WITHIN GROUP (ORDER BY value) for each named fraction, as DOUBLE.
 
-    Works on distinct values with their counts (map-side aggregated, so a hot
-    value costs one row), positions them globally, then picks the two
-    neighbouring order statistics and interpolates: lo + (hi - lo) * frac.
-    Returns one row; also exposes min/max/sum/count of the non-NULL values as
-    ``_min, _max, _sum, _n`` for callers that need them.
+    1. distinct values with their counts (map-side aggregated: a hot value costs one row);
+    2. range-partition + freeze them; per-partition count/min/max/sum give, on
+       the P-row stats table, the global offsets and totals;
+    3. only the partitions that hold a wanted order statistic (at most two per
+       fraction) are sorted; every other partition is skipped;
+    4. interpolate: lo + (hi - lo) * frac, as PostgreSQL does in float8.
+
+    Returns one row with the fractions plus ``_min, _max, _sum, _n`` of the
+    non-NULL values (all NULL on empty input).
     """
-    vals = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
-    pos = global_prefix(vals, [F.col(value).asc()], weight="_cnt")
-    total = F.col("_total")
-    aggs = [
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.sum(F.col(value) * F.col("_cnt")).alias("_sum"),
-        F.sum("_cnt").alias("_n"),
-    ]
+    v = F.col(value)
+    vals = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    frozen = _ranged(vals, [v.asc()])
+    stats = frozen.groupBy("_pid").agg(
+        F.sum("_cnt").alias("_c"),
+        F.min(value).alias("_pmin"),
+        F.max(value).alias("_pmax"),
+        F.sum(v * F.col("_cnt")).alias("_psum"),
+    )
+    stats = _offsets(stats, "_c")
+    everything = Window.partitionBy()  # over the P-row stats table only
+    stats = (
+        stats.withColumn("_min", F.min("_pmin").over(everything))
+        .withColumn("_max", F.max("_pmax").over(everything))
+        .withColumn("_sum", F.sum("_psum").over(everything))
+    )
+    need = F.lit(False)
     for name, f in fractions.items():
-        p = F.lit(float(f)) * (total - 1).cast("double")
-        lo, hi = F.floor(p), F.ceil(p)
-
-        def pick(k):
-            return F.max(F.when((F.col("_start") <= k) & (k < F.col("_start") + F.col("_cnt")), F.col(value)))
-
-        aggs += [
-            pick(lo).cast("double").alias(f"_lo_{name}"),
-            pick(hi).cast("double").alias(f"_hi_{name}"),
-            F.max(p - lo).alias(f"_fr_{name}"),
-        ]
-    row = pos.agg(*aggs)
+        p = F.lit(float(f)) * (F.col("_total") - 1).cast("double")
+        stats = stats.withColumn(f"_lo_{name}", F.floor(p)).withColumn(f"_hi_{name}", F.ceil(p)).withColumn(
+            f"_fr_{name}", p - F.floor(p)
+        )
+        for k in (f"_lo_{name}", f"_hi_{name}"):
+            need = need | ((F.col("_offset") <= F.col(k)) & (F.col(k) < F.col("_offset") + F.col("_c")))
+    wanted = stats.where(need).drop("_c", "_pmin", "_pmax", "_psum")
+
+    sel = frozen.join(F.broadcast(wanted), "_pid")  # at most 2 x len(fractions) partitions survive
+    run = Window.partitionBy("_pid").orderBy(v.asc()).rowsBetween(_UNB, Window.currentRow)
+    sel = sel.withColumn("_start", F.col("_offset") + F.sum("_cnt").over(run) - F.col("_cnt"))
+
+    def pick(k):
+        hit = (F.col("_start") <= F.col(k)) & (F.col(k) < F.col("_start") + F.col("_cnt"))
+        return F.max(F.when(hit, v)).cast("double")
+
+    aggs = [F.max(c).alias(c) for c in ("_min", "_max", "_sum")] + [F.max("_total").alias("_n")]
+    for name in fractions:
+        aggs += [pick(f"_lo_{name}").alias(f"_lo_{name}"), pick(f"_hi_{name}").alias(f"_hi_{name}"),
+                 F.max(f"_fr_{name}").alias(f"_fr_{name}")]
+    row = sel.agg(*aggs)
     out = [F.col(c) for c in ("_min", "_max", "_sum", "_n")]
     for name in fractions:
         lo, hi, fr = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_fr_{name}")
