@@ -20,6 +20,15 @@ from revlens.operators.breakdown import revenue_breakdown
 from revlens.operators.ordering import pg_order
 
 
+def _by_month() -> Window:
+    """Month order for the per-month series (one row per month: a bounded single partition).
+
+    ASC NULLS LAST as in PostgreSQL; it also equals the final ORDER BY, so the
+    window's sorted single partition already satisfies it (no extra exchange).
+    """
+    return Window.orderBy(F.col("month").asc_nulls_last())
+
+
 def customer_month(C: DataFrame) -> DataFrame:
     """(customer_id, order_month) -> revenue (unrounded SUM(sales)): the shared churn/MRR grain."""
     return C.groupBy("customer_id", "order_month").agg(F.sum("sales").alias("revenue"))
@@ -53,7 +62,7 @@ def mrr_monthly(C: DataFrame) -> DataFrame:
 def mrr_growth(C: DataFrame) -> DataFrame:
     """MRR with previous month (LAG), absolute change and month-over-month growth %."""
     m = monthly_totals(C).select("month", "active_customers", money("_rev").alias("mrr"))
-    prev = F.lag("mrr", 1).over(Window.orderBy("month"))
+    prev = F.lag("mrr", 1).over(_by_month())
     m = m.withColumn("prev_month_mrr", prev)
     out = m.select(
         "month",
@@ -77,8 +86,8 @@ def mrr_growth_brief(C: DataFrame) -> DataFrame:
 def mrr_running(C: DataFrame, window: int = 3) -> DataFrame:
     """Cumulative revenue (default RANGE frame) and a rolling average over the last ``window`` rows."""
     m = monthly_totals(C).select("month", money("_rev").alias("mrr"))
-    run = Window.orderBy("month")  # RANGE UNBOUNDED PRECEDING .. CURRENT ROW
-    roll = Window.orderBy("month").rowsBetween(-(window - 1), Window.currentRow)
+    run = _by_month()  # RANGE UNBOUNDED PRECEDING .. CURRENT ROW
+    roll = _by_month().rowsBetween(-(window - 1), Window.currentRow)
     out = m.select(
         "month",
         "mrr",
@@ -138,7 +147,7 @@ def arpu_monthly(C: DataFrame) -> DataFrame:
     (rev1*n0 - rev0*n1) / (n1*n0) and rounded once.
     """
     m = monthly_totals(C)
-    w = Window.orderBy("month")
+    w = _by_month()
     m = m.withColumn("_prev_rev", F.lag("_rev", 1).over(w)).withColumn("_prev_n", F.lag("active_customers", 1).over(w))
     change = round_ratio(
         F.col("_rev") * F.col("_prev_n") - F.col("_prev_rev") * F.col("active_customers"),

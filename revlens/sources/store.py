@@ -22,7 +22,7 @@ from revlens.session import checkpoint_dir
 from revlens.sources.star import STAR_TABLES, star_sales
 
 _LOCK = threading.Lock()
-_TABLES: dict[tuple, str] = {}
+_TABLES: dict[tuple, DataFrame] = {}  # resolved once: file listing and footers are read once
 
 
 def _fingerprint(sf_dir: str) -> tuple:
@@ -55,13 +55,11 @@ def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw ``saas_sales`` fact for ``sf_dir`` (star join materialised once per session)."""
     key = ("raw", *_key(spark, sf_dir))
     with _LOCK:
-        path = _TABLES.get(key)
-        if path is None:
-            # Sorting each output file by date gives tight row-group min/max stats for date filters.
-            fact = star_sales(spark, sf_dir).sortWithinPartitions("order_date")
-            path = materialize(fact, "saas_sales")
-            _TABLES[key] = path
-    return spark.read.schema(RAW_SCHEMA).parquet(path)
+        df = _TABLES.get(key)
+        if df is None:
+            path = materialize(star_sales(spark, sf_dir), "saas_sales")
+            df = _TABLES[key] = spark.read.schema(RAW_SCHEMA).parquet(path)
+    return df
 
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +76,12 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = ("clean", *_key(spark, sf_dir))
     with _LOCK:
-        path = _TABLES.get(key)
-    if path is None:
+        df = _TABLES.get(key)
+    if df is None:
         path = materialize(clean(sales_table(spark, sf_dir)), "saas_clean")
         with _LOCK:
-            path = _TABLES.setdefault(key, path)
-    return spark.read.parquet(path)
+            df = _TABLES.setdefault(key, spark.read.parquet(path))
+    return df
 
 
 def sales_frame(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
