@@ -34,16 +34,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's reliable checkpoint folder; set a local one only if none is configured."""
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext; the server-side setting applies
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     target = configured or tempfile.mkdtemp(prefix="revlens-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifies the running application (for per-session caches)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def freeze(df):
     """Cut lineage with a reliable checkpoint (survives executor loss, fixes range bounds)."""
     checkpoint_dir(df.sparkSession)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.schema import RAW_SCHEMA
-from revlens.session import checkpoint_dir
+from revlens.session import checkpoint_dir, session_key
 from revlens.sources.star import STAR_TABLES, star_sales
 
 _LOCK = threading.Lock()
@@ -39,7 +39,7 @@ def _fingerprint(sf_dir: str) -> tuple:
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple:
     where = sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)
-    return (id(spark.sparkContext._jsc), where, _fingerprint(sf_dir))
+    return (session_key(spark), where, _fingerprint(sf_dir))
 
 
 def materialize(df: DataFrame, name: str) -> str:
