@@ -23,13 +23,17 @@ from revlens.operators.ordering import pg_order, pg_sort_keys
 from revlens.session import freeze
 
 # measure kind -> (aggregates it needs, final expression over them)
+# distinct-count aggregates: exact COUNT(DISTINCT) or, with exact=False, HLL++ sketches
+_DISTINCT = {
+    "_cust": "customer_id",
+    "_dorders": "order_id",
+    "_dproducts": "product",
+    "_dcountries": "country",
+    "_dregions": "region",
+}
+
 _AGGS = {
-    "_cust": lambda: F.countDistinct("customer_id"),
     "_orders": lambda: F.count("order_id"),
-    "_dorders": lambda: F.countDistinct("order_id"),
-    "_dproducts": lambda: F.countDistinct("product"),
-    "_dcountries": lambda: F.countDistinct("country"),
-    "_dregions": lambda: F.countDistinct("region"),
     "_units": lambda: F.sum("quantity"),
     "_rev": lambda: F.sum("sales"),
     "_nsales": lambda: F.count("sales"),
@@ -65,17 +69,27 @@ def revenue_breakdown(
     share_within: Sequence[str] | None = None,
     order: Sequence[str | Column] = (),
     limit: int | None = None,
+    exact: bool = True,
+    rsd: float = 0.01,
 ) -> DataFrame:
     """Group ``C`` by ``by`` and compute named measures.
 
     ``measures`` is a list of (output name, kind) with kinds from ``_MEASURES``.
     ``share_pct`` is revenue as a % of all groups, or of the groups sharing the
     ``share_within`` keys.  ``order`` uses pg_order specs; ``limit`` makes it a top-k.
+    ``exact=False`` computes distinct counts with HLL++ sketches (error ``rsd``).
     """
+
+    def agg(a: str) -> Column:
+        if a in _DISTINCT:
+            c = _DISTINCT[a]
+            return F.countDistinct(c) if exact else F.approx_count_distinct(c, rsd)
+        return _AGGS[a]()
+
     needed: dict[str, Column] = {}
     for _, kind in measures:
         for a in _MEASURES[kind][0]:
-            needed.setdefault(a, _AGGS[a]().alias(a))
+            needed.setdefault(a, agg(a).alias(a))
     grouped = C.groupBy(*by).agg(*needed.values()) if by else C.agg(*needed.values())
     keys = [k for k in grouped.columns if k not in needed]
 
@@ -104,8 +118,14 @@ def revenue_breakdown(
     return out
 
 
-def business_overview(C: DataFrame) -> DataFrame:
-    """Headline KPIs in one row (five exact distinct counts in one aggregate)."""
+def business_overview(C: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
+    """Headline KPIs in one row.
+
+    Five exact distinct counts share one aggregate (Catalyst expands each row
+    once per distinct column before the map-side dedup).  ``exact=False``
+    uses HyperLogLog++ sketches instead (``approx_count_distinct``, relative
+    error ``rsd``): fixed-size partial states and no expansion.
+    """
     return revenue_breakdown(
         C,
         [],
@@ -122,6 +142,8 @@ def business_overview(C: DataFrame) -> DataFrame:
             ("data_start_date", "first_date"),
             ("data_end_date", "last_date"),
         ],
+        exact=exact,
+        rsd=rsd,
     )
 
 
