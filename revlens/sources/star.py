@@ -56,16 +56,21 @@ def star_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    # Product name is derived once per part, not once per line.
+    part = read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("p_product")
+    )
 
     # nation x region is a fixed ~25-row geography; broadcast it only after a size check.
     geo = nation.join(bounded_broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     cust = customer.join(bounded_broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    # orders x customer first (orders is the smaller fact), then lineitem on orderkey, then part.
-    # Big sides are shuffle joins; AQE may turn any of them into a broadcast from runtime sizes.
     oc = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
-    fact = li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(
-        part, F.col("l_partkey") == F.col("p_partkey"), "left"
+    # lineitem meets part first, while its rows are still narrow, then orders+customer: the
+    # second lineitem shuffle carries one short product string instead of all order/customer
+    # text.  Big sides are shuffle joins (AQE may broadcast from runtime sizes, and splits a
+    # hot part or order on the lineitem side); lineitem stays the left side of both left joins.
+    fact = li.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(
+        oc, F.col("l_orderkey") == F.col("o_orderkey"), "left"
     )
     return fact.select(*_mapping())
 
@@ -91,7 +96,7 @@ def _mapping():
         .when(F.col("c_acctbal") < 6000, F.lit("Mid-Market"))
         .when(F.col("c_acctbal") >= 6000, F.lit("Enterprise"))
     )
-    product = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
+    product = F.col("p_product")
     d = F.to_date(F.col("o_orderdate"))
     cols = {
         "row_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
