@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.numeric import exact_avg, money, pct, round_ratio
 from revlens.operators import labels
-from revlens.operators.ordering import pg_order, pg_sort_keys
+from revlens.operators.ordering import pg_sort_keys
 from revlens.session import freeze
 
 # measure kind -> (aggregates it needs, final expression over them)

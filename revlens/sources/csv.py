@@ -47,9 +47,16 @@ def varchar_violations(raw: DataFrame) -> DataFrame:
     return raw.where(cond)
 
 
-def save_raw(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Drop-and-recreate the raw table as Parquet (``DROP TABLE; CREATE TABLE; load``)."""
-    raw.select(*[F.col(f.name).cast(f.dataType) for f in RAW_SCHEMA.fields]).write.mode(mode).parquet(path)
+def save_raw(raw: DataFrame, target: str, mode: str = "overwrite") -> None:
+    """Drop-and-recreate the raw table (``DROP TABLE; CREATE TABLE; load``) as Parquet.
+
+    ``target`` is a path (contains '/' or a URI scheme) or a catalog table name.
+    """
+    w = raw.select(*[F.col(f.name).cast(f.dataType) for f in RAW_SCHEMA.fields]).write.mode(mode).format("parquet")
+    if "/" in target or ":" in target:
+        w.save(target)
+    else:
+        w.saveAsTable(target)
 
 
 def write_csv(raw: DataFrame, path: str, mode: str = "overwrite") -> None:

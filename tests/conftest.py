@@ -13,7 +13,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from revlens.session import checkpoint_dir, local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="revlens-tests")
+    import tempfile
+
+    warehouse = tempfile.mkdtemp(prefix="revlens-warehouse-")
+    s = local_session(cores="*", shuffle_partitions=8, app="revlens-tests", extra={"spark.sql.warehouse.dir": warehouse})
     checkpoint_dir(s)
     yield s
 

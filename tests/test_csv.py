@@ -30,6 +30,9 @@ def test_save_raw_overwrites(spark, sf_small):
     save_raw(raw.limit(5), path)
     save_raw(raw.limit(7), path)
     assert spark.read.parquet(path).count() == 7
+    save_raw(raw.limit(3), "revlens_test_saas_sales")
+    save_raw(raw.limit(4), "revlens_test_saas_sales")
+    assert spark.table("revlens_test_saas_sales").count() == 4
 
 
 def _bad_csv():
