@@ -91,10 +91,13 @@ def rank_ntile(
     v = F.col(value)
     vkey = v.desc_nulls_first() if descending else v.asc_nulls_last()
     order = [vkey] + [F.col(c).asc_nulls_last() for c in tie_breakers]
-    frozen = _ranged(df, order)
-
-    local = frozen.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).withColumn(
-        "_rk", F.rank().over(Window.partitionBy("_pid").orderBy(vkey))
+    # Number rows inside each range, then freeze once: the windows run a single
+    # time and both the P-row stats and the output read the frozen rows.
+    ranged = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    local = freeze(
+        ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).withColumn(
+            "_rk", F.rank().over(Window.partitionBy("_pid").orderBy(vkey))
+        )
     )
     stats = local.groupBy("_pid").agg(
         F.count(F.lit(1)).alias("_cnt"),
