@@ -59,7 +59,7 @@ def churn_status(C: DataFrame, exclude_last: bool = False) -> DataFrame:
 def _grain_with_next(C: DataFrame) -> DataFrame:
     """customer-month grain + next active month + churned flag (0/1)."""
     g = customer_month(C)
-    w = Window.partitionBy("customer_id").orderBy("order_month")
+    w = Window.partitionBy("customer_id").orderBy(F.col("order_month").asc_nulls_last())
     g = g.withColumn("next_active_month", F.lead("order_month", 1).over(w))
     return g.withColumn(
         "churned", F.when(_gap_after(F.col("order_month"), F.col("next_active_month")), 1).otherwise(0)

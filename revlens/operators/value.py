@@ -70,7 +70,7 @@ def customer_running_revenue(C: DataFrame) -> DataFrame:
     share the cumulative value.
     """
     g = C.groupBy("customer_id", "customer", "order_month").agg(F.sum("sales").alias("_rev"))
-    run = Window.partitionBy("customer_id").orderBy("order_month")
+    run = Window.partitionBy("customer_id").orderBy(F.col("order_month").asc_nulls_last())
     out = g.select(
         "customer_id",
         "customer",
@@ -112,13 +112,15 @@ def cross_sell(C: DataFrame, sep: str = ", ") -> DataFrame:
     """Products bought per (customer_id, customer, segment), their sorted list and a customer type.
 
     Collects distinct products per group (map-side partial sets), so a group's
-    list is bounded by the product catalogue, not by its number of sales.
+    list is bounded by the product catalogue, not by its number of sales; the
+    product count is the size of that set (one aggregate, no distinct rewrite).
     """
     g = C.groupBy("customer_id", "customer", "segment").agg(
-        F.countDistinct("product").alias("products_purchased"),
         F.collect_set("product").alias("_products"),
         money(F.sum("sales")).alias("total_revenue"),
     )
+    # COUNT(DISTINCT product) = size of the distinct set (both skip NULLs); no Expand needed.
+    g = g.withColumn("products_purchased", F.size("_products").cast("long"))
     n = F.col("products_purchased")
     listed = F.when(F.size("_products") > 0, F.array_join(F.array_sort("_products"), sep))
     kind = (
