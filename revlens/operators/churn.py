@@ -5,9 +5,11 @@ missing or later than the following calendar month; a returning customer is
 counted as churned at each gap.  The last month of the data is therefore
 always 100 % churned (right-censored); pass ``exclude_last=True`` to drop it.
 
-All windows are partitioned by customer over the customer-month grain, so a
-partition holds at most one row per month (or per name and month) no matter
-how many transactions a hot customer has.
+Per-customer work runs either on a customer's sorted set of active months
+(one shuffle by customer, sets merged map-side) or in windows partitioned by
+customer over the customer-month grain; either way a customer holds at most
+one entry per month (or per name and month), however many transactions a hot
+customer has.
 """
 
 from __future__ import annotations
@@ -56,6 +58,24 @@ def churn_status(C: DataFrame, exclude_last: bool = False) -> DataFrame:
     return pg_order(flagged, "customer_id", "current_month")
 
 
+def _active_months(C: DataFrame) -> DataFrame:
+    """customer_id -> ascending array of its distinct active months.
+
+    One shuffle by customer; sets are merged map-side and bounded by the
+    calendar (one entry per month), however many sales a customer has.
+    """
+    return C.groupBy("customer_id").agg(F.array_sort(F.collect_set("order_month")).alias("_months"))
+
+
+def _months_with_next(C: DataFrame) -> DataFrame:
+    """One row per (customer_id, month) with the customer's next active month (LEAD without a window)."""
+    months = F.col("_months")
+    pairs = F.transform(
+        months, lambda m, i: F.struct(m.alias("month"), F.try_element_at(months, i + 2).alias("next_active_month"))
+    )
+    return _active_months(C).select("customer_id", F.inline(pairs))
+
+
 def _grain_with_next(C: DataFrame) -> DataFrame:
     """customer-month grain + next active month + churned flag (0/1)."""
     g = customer_month(C)
@@ -72,9 +92,10 @@ def monthly_churn(C: DataFrame, exclude_last: bool = False) -> DataFrame:
     The rate divides by customers active *in* the month (the reference's
     header says "at start of month"; its code does this).
     """
-    g = _grain_with_next(C)
-    m = g.groupBy(F.col("order_month").alias("month")).agg(
-        F.count("customer_id").alias("total_active_customers"), F.sum("churned").alias("churned_customers")
+    g = _months_with_next(C)
+    churned = F.when(_gap_after(F.col("month"), F.col("next_active_month")), 1).otherwise(0)
+    m = g.groupBy("month").agg(
+        F.count(F.lit(1)).alias("total_active_customers"), F.sum(churned).alias("churned_customers")
     )
     m = _drop_last_month(m, "month", exclude_last)
     out = m.select(
@@ -128,13 +149,15 @@ def churned_revenue_list(C: DataFrame) -> DataFrame:
 def cohort_retention(C: DataFrame, digits: int = 1) -> DataFrame:
     """cohort_month, original_cohort_size, months_since_join, active_customers, retention_pct.
 
-    Cohort = first active month.  Each customer-month is one grain row, so the
-    distinct customer count per (cohort, age) is a COUNT; the cohort size is
+    Cohort = first active month, read off each customer's sorted month set
+    (one shuffle by customer, no window).  Each exploded customer-month is one
+    row, so the distinct customer count per (cohort, age) is a COUNT; the cohort size is
     the age-0 count, taken with a window over the aggregated rows (at most
     one row per month per cohort) instead of a join.
     """
-    g = C.select("customer_id", "order_month").distinct()
-    g = g.withColumn("cohort_month", F.min("order_month").over(Window.partitionBy("customer_id")))
+    g = _active_months(C).select(
+        F.array_min("_months").alias("cohort_month"), F.explode("_months").alias("order_month")
+    )
     g = g.withColumn("months_since_join", months_apart("order_month", "cohort_month"))
     a = g.groupBy("cohort_month", "months_since_join").agg(F.count(F.lit(1)).alias("active_customers"))
     size = F.max(F.when(F.col("months_since_join") == 0, F.col("active_customers"))).over(
