@@ -101,3 +101,25 @@ def test_sales_distribution_approx_close_to_exact(spark, sf_small):
     a = ops.sales_distribution_approx(raw).first()
     assert a.min_sales == e.min_sales and a.avg_sales == e.avg_sales
     assert abs(a.median_sales - e.median_sales) <= 0.01 * float(e.max_sales - e.min_sales)
+
+
+def test_d1_null_name_sorts_last_like_the_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    raw = _raw(
+        spark,
+        [
+            ("2023-01-03", None, "c1", "x", "p", "10.00", "0"),
+            ("2023-01-09", "acme", "c1", "x", "p", "10.00", "0"),
+            ("2023-02-01", None, "c1", "x", "p", "10.00", "0"),
+            ("2023-04-01", "zen", "c2", "x", "p", "10.00", "0"),
+        ],
+    )
+    C = ops.clean(raw)
+    got = {(r.customer_id, r.customer, r.current_month): r.next_active_month for r in ops.churn_status(C).collect()}
+    w = Window.partitionBy("customer_id").orderBy(F.col("order_month").asc_nulls_last(), F.col("customer").asc_nulls_last())
+    ref = C.select("customer_id", "customer", "order_month").distinct().withColumn("n", F.lead("order_month").over(w))
+    want = {(r.customer_id, r.customer, r.order_month): r.n for r in ref.collect()}
+    assert got == want
+    assert got[("C1", "Acme", dt.date(2023, 1, 1))] == dt.date(2023, 1, 1)  # NULL name sorts after 'Acme'
