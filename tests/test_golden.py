@@ -156,3 +156,9 @@ def test_value(C):
     assert mv[dt.date(2023, 4, 1)] == (D("40.00"), L.EXPANSION)
     run = {r.order_month: r.cumulative_customer_revenue for r in ops.customer_running_revenue(C).where("customer_id = 'C1'").collect()}
     assert run[dt.date(2023, 4, 1)] == D("250.00")
+
+
+def test_clean_view_is_queryable_with_sql(spark, raw):
+    ops.register_clean_view(raw, "saas_clean_test")
+    r = spark.sql("SELECT COUNT(*) AS n, COUNT(DISTINCT customer_id) AS c FROM saas_clean_test").first()
+    assert (r.n, r.c) == (8, 3)
