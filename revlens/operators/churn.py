@@ -29,18 +29,6 @@ def _gap_after(current: Column, nxt: Column) -> Column:
     return nxt.isNull() | (nxt > next_month(current))
 
 
-def _asc_nulls_last(a: Column, b: Column) -> Column:
-    """Comparator for array_sort: -1/0/1 for a before/equal/after b, NULLs last."""
-    return (
-        F.when(a.isNull() & b.isNull(), 0)
-        .when(a.isNull(), 1)
-        .when(b.isNull(), -1)
-        .when(a < b, -1)
-        .when(a > b, 1)
-        .otherwise(0)
-    )
-
-
 def _drop_last_month(df: DataFrame, month_col: str, exclude_last: bool) -> DataFrame:
     if not exclude_last:
         return df
@@ -52,28 +40,17 @@ def churn_status(C: DataFrame, exclude_last: bool = False) -> DataFrame:
     """Per distinct (customer_id, customer, month): next active month and Churned/Retained.
 
     As in the reference, ``customer`` is part of the DISTINCT but not of the
-    LEAD partition: an id with two names in one month sees its own month as
+    window partition: an id with two names in one month sees its own month as
     "next" for the first name (ordered by name) and is Retained there.
     """
-    # Distinct (month, name) pairs per customer, sorted like ORDER BY order_month, customer
-    # (ASC NULLS LAST); LEAD is the next element.  One shuffle by customer, bounded sets.
-    pairs = C.groupBy("customer_id").agg(F.collect_set(F.struct("order_month", "customer")).alias("_mc"))
-    ordered = F.array_sort(
-        "_mc",
-        lambda a, b: F.coalesce(
-            F.nullif(_asc_nulls_last(a["order_month"], b["order_month"]), F.lit(0)),
-            _asc_nulls_last(a["customer"], b["customer"]),
-        ),
-    )
-    rows = F.transform(
-        ordered,
-        lambda x, i: F.struct(
-            x["customer"].alias("customer"),
-            x["order_month"].alias("current_month"),
-            F.try_element_at(ordered, i + 2)["order_month"].alias("next_active_month"),
-        ),
-    )
-    flagged = pairs.select("customer_id", F.inline(rows)).withColumn(
+    active = C.select("customer_id", "customer", "order_month").distinct()
+    w = Window.partitionBy("customer_id").orderBy(F.col("order_month").asc_nulls_last(), F.col("customer").asc_nulls_last())
+    flagged = active.select(
+        "customer_id",
+        "customer",
+        F.col("order_month").alias("current_month"),
+        F.lead("order_month", 1).over(w).alias("next_active_month"),
+    ).withColumn(
         "churn_status",
         F.when(_gap_after(F.col("current_month"), F.col("next_active_month")), labels.CHURNED).otherwise(labels.RETAINED),
     )
