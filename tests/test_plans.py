@@ -44,3 +44,52 @@ def test_star_join_broadcasts_only_checked_dimensions(spark, sf_small):
     plan = star_sales(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     # region and nation are hinted after the size check; the facts are not.
     assert plan.count("broadcast") >= 2
+
+
+def _subtrees(plan_text, marker):
+    """Yield (line, subtree lines) for every plan node whose line contains ``marker``."""
+    lines = [ln for ln in plan_text.splitlines() if ln.strip()]
+
+    def depth(ln):
+        return len(ln) - len(ln.lstrip(" :+-"))
+
+    for i, ln in enumerate(lines):
+        if marker in ln:
+            d, sub = depth(ln), []
+            for nxt in lines[i + 1:]:
+                if depth(nxt) <= d:
+                    break
+                sub.append(nxt)
+            yield ln, sub
+
+
+@pytest.mark.parametrize("key", list(registry.CATALOG))
+def test_fact_rows_are_combined_map_side_before_any_shuffle(spark, sf_small, key):
+    """Every shuffle over the fact has an aggregate under it: raw rows never cross the network,
+    so a hot customer/month/value is collapsed map-side first."""
+    assert not _raw_row_shuffles(registry.run(spark, sf_small, key)), key
+
+
+def _raw_row_shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()  # AQE initial plan, exchanges included
+    assert "Exchange" in plan or "Scan" in plan
+    bad = []
+    for line, sub in _subtrees(plan, "Exchange "):
+        if "SinglePartition" in line:
+            continue
+        text = "\n".join(sub)
+        if "Scan parquet" not in text or "ExistingRDD" in text:
+            continue
+        if "HashAggregate" not in text and "ObjectHashAggregate" not in text:
+            bad.append(line.strip())
+    return bad
+
+
+def test_raw_row_shuffle_is_detected(spark, sf_small):
+    from pyspark.sql import functions as F
+
+    C = clean_table(spark, sf_small)
+    bad = C.repartition("customer_id").groupBy("customer_id").agg(F.sum("sales"))
+    assert _raw_row_shuffles(bad)
+    good = C.groupBy("customer_id").agg(F.sum("sales"))
+    assert not _raw_row_shuffles(good)
