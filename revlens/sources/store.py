@@ -66,7 +66,7 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned view for ``sf_dir``, materialised once per session (like a materialised view).
 
     INITCAP over the text columns is the most expensive expression of the
-    pipeline; writing the cleaned rows once means no query re-evaluates it.
+    whole flow; writing the cleaned rows once means no query re-evaluates it.
     It is deliberately *not* bucketed by customer: with one customer holding
     a large share of rows a bucketed scan would give that share to one task,
     while the plain layout lets every aggregation pre-aggregate map-side
