@@ -162,3 +162,11 @@ def test_clean_view_is_queryable_with_sql(spark, raw):
     ops.register_clean_view(raw, "saas_clean_test")
     r = spark.sql("SELECT COUNT(*) AS n, COUNT(DISTINCT customer_id) AS c FROM saas_clean_test").first()
     assert (r.n, r.c) == (8, 3)
+
+
+def test_quality_report_equals_separate_checks(raw):
+    one = ops.quality_report(raw).first().asDict()
+    separate = {}
+    for df in (ops.load_profile(raw), ops.null_profile(raw), ops.date_coverage(raw), ops.nonpositive_sales(raw)):
+        separate.update(df.first().asDict())
+    assert one == separate
