@@ -62,3 +62,8 @@ def test_percentiles_match_spark_percentile(spark, fracs):
 def test_percentile_of_empty_input_is_null(spark):
     df = spark.createDataFrame([], "v decimal(12,2)")
     assert percentiles_cont(df, "v", {"m": 0.5}).first().m is None
+
+
+def test_rank_ntile_on_empty_input(spark):
+    df = spark.createDataFrame([], "key string, v decimal(12,2)")
+    assert rank_ntile(df, "v", ["key"], n=4).count() == 0
