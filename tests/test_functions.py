@@ -70,3 +70,53 @@ def test_calendar_labels(spark):
     assert r.m2 == "May 2023"
     assert r.q == "2023 Q2"
     assert r.d == 18
+
+
+@pytest.mark.parametrize("digits, mult", [(0, 1), (1, 100), (2, 1), (2, 100), (4, 1)])
+def test_round_ratio_matches_exact_rational_rounding(spark, digits, mult):
+    import math
+    import random
+    from fractions import Fraction
+
+    rnd = random.Random(digits * 1000 + mult)
+    rows = []
+    for _ in range(2000):
+        scale = rnd.choice([10**2, 10**6, 10**12, 10**15])
+        n = Decimal(rnd.randrange(-scale, scale)) / 100
+        d = rnd.choice([1, 2, 3, 7, 8, 200, 10**6 + 3, rnd.randrange(1, 10**12)]) * rnd.choice([1, -1])
+        rows.append((n, d))
+    df = spark.createDataFrame(rows, "n decimal(22,2), d long")
+    got = [r.r for r in df.select(round_ratio("n", "d", digits, mult).alias("r")).collect()]
+
+    def expected(n, d):
+        x = Fraction(n) * mult / d * 10**digits
+        q = math.floor(abs(x) + Fraction(1, 2))
+        return Decimal(q if x >= 0 else -q).scaleb(-digits)
+
+    for (n, d), g in zip(rows, got):
+        assert g == expected(n, d), (n, d, g)
+
+
+@pytest.mark.parametrize("digits, mult", [(0, 1), (1, 100), (2, 100), (4, 1)])
+def test_oracle_ratio_sql_is_exact_too(digits, mult):
+    import math
+    import random
+    from fractions import Fraction
+
+    import duckdb
+
+    from revlens.plans.oracle import _r
+
+    rnd = random.Random(digits * 7 + mult)
+    rows = [
+        (Decimal(rnd.randrange(-10**15, 10**15)) / 100, rnd.randrange(1, 10**12) * rnd.choice([1, -1]))
+        for _ in range(2000)
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, n DECIMAL(22,2), d BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, n, d) for i, (n, d) in enumerate(rows)])
+    got = dict(con.execute(f"SELECT i, {_r('n', 'd', digits, mult, 2, 0)} FROM t").fetchall())
+    for i, (n, d) in enumerate(rows):
+        x = Fraction(n) * mult / d * 10**digits
+        q = math.floor(abs(x) + Fraction(1, 2))
+        assert got[i] == float(Decimal(q if x >= 0 else -q).scaleb(-digits)), (n, d, got[i])
