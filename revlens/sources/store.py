@@ -22,7 +22,7 @@ from revlens.session import checkpoint_dir, session_key
 from revlens.sources.star import STAR_TABLES, star_sales
 
 _LOCK = threading.Lock()
-_TABLES: dict[tuple, DataFrame] = {}  # resolved once: file listing and footers are read once
+_TABLES: dict[tuple, DataFrame | str] = {}  # resolved once: file listing and footers are read once
 
 
 def _fingerprint(sf_dir: str) -> tuple:
@@ -84,6 +84,23 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+def sales_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Path of a header CSV export of the raw fact (written once per session), the input
+    format of the reference's load step; read it with ``sources.load_csv``."""
+    from revlens.sources.csv import write_csv
+
+    key = ("csv", *_key(spark, sf_dir))
+    with _LOCK:
+        path = _TABLES.get(key)
+    if path is None:
+        base = checkpoint_dir(spark).rstrip("/")
+        target = f"{base}/revlens-tables/saas_sales_csv-{uuid.uuid4().hex}"
+        write_csv(sales_table(spark, sf_dir), target, mode="errorifexists")
+        with _LOCK:
+            path = _TABLES.setdefault(key, target)
+    return path
+
+
 def sales_frame(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
     """Raw fact either materialised (default) or as the lazy star join."""
     if materialized:
