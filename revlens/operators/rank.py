@@ -5,10 +5,11 @@ For RANK / NTILE over all customers and for exact percentiles we instead:
 
 1. range-partition on the sort keys (sampled bounds, AQE may merge adjacent
    partitions, which keeps them in order) and add ``_pid`` = partition index;
-2. freeze that with a reliable ``checkpoint()`` so the bounds cannot move
-   between the jobs that read it;
-3. number rows inside each partition (a window partitioned by ``_pid``: one
-   task per range, each a bounded slice);
+2. number rows inside each range (a window partitioned by ``_pid``: one task
+   per range, each a bounded slice);
+3. freeze with a reliable ``checkpoint()`` (RANK/NTILE: after step 2;
+   percentiles: after step 1) so the sampled bounds cannot differ between
+   the jobs that read the rows;
 4. turn per-partition counts into global offsets on a table of P rows (P =
    number of range partitions, fixed by configuration), broadcast it and add.
 
