@@ -120,3 +120,45 @@ def test_oracle_ratio_sql_is_exact_too(digits, mult):
         x = Fraction(n) * mult / d * 10**digits
         q = math.floor(abs(x) + Fraction(1, 2))
         assert got[i] == float(Decimal(q if x >= 0 else -q).scaleb(-digits)), (n, d, got[i])
+
+
+def test_pg_initcap_matches_postgres_rule_on_random_text(spark):
+    import random
+
+    def pg(s):  # PostgreSQL: a letter after a non-alphanumeric is upper-cased, every other letter lower-cased
+        out, prev_alnum = [], False
+        for ch in s:
+            out.append(ch.lower() if prev_alnum else ch.upper())
+            prev_alnum = ch.isalnum()
+        return "".join(out)
+
+    rnd = random.Random(5)
+    alphabet = "abcXYZ019 -_'./#&éÖñÆ\t"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 25))) for _ in range(1000)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r.y for r in df.select(pg_initcap("x").alias("y")).collect()]
+    assert got == [pg(t) for t in texts]
+
+
+def test_oracle_initcap_matches_postgres_rule_on_random_text():
+    import random
+
+    import duckdb
+
+    from revlens.plans.oracle import _initcap
+
+    def pg(s):
+        out, prev_alnum = [], False
+        for ch in s:
+            out.append(ch.lower() if prev_alnum else ch.upper())
+            prev_alnum = ch.isalnum()
+        return "".join(out)
+
+    rnd = random.Random(9)
+    alphabet = "abcXYZ019 -_'./#&éÖñÆ\t"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 25))) for _ in range(1000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    got = dict(con.execute(f"SELECT i, {_initcap('x')} FROM t").fetchall())
+    assert [got[i] for i in range(len(texts))] == [pg(t.strip(" ")) for t in texts]
