@@ -1,11 +1,14 @@
 """Scalar building blocks: PostgreSQL-compatible text, exact money, calendar."""
 
 from revlens.functions.dates import (  # noqa: F401
+    PERIODS,
     month_index,
     month_label,
     month_start,
     months_apart,
     next_month,
+    next_period,
+    period_start,
     quarter_label,
     quarter_start,
     year_start,

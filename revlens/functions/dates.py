@@ -51,3 +51,17 @@ def months_apart(later: Column | str, earlier: Column | str) -> Column:
 def next_month(m: Column | str) -> Column:
     """m + INTERVAL '1 month' (as DATE)."""
     return F.add_months(_c(m), 1)
+
+
+# Calendar periods: name -> (trunc unit, months per period, one-letter tag).
+PERIODS = {"month": ("MM", 1, "m"), "quarter": ("quarter", 3, "q"), "year": ("year", 12, "y")}
+
+
+def period_start(d: Column | str, period: str = "month") -> Column:
+    """First day of the month / quarter / year containing ``d``."""
+    return F.trunc(_c(d), PERIODS[period][0])
+
+
+def next_period(p: Column | str, period: str = "month") -> Column:
+    """p + one period (as DATE)."""
+    return F.add_months(_c(p), PERIODS[period][1])

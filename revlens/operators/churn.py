@@ -17,16 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.dates import month_index, months_apart, next_month
+from revlens.functions.dates import month_index, months_apart, next_period
 from revlens.functions.numeric import money, pct, round_ratio
 from revlens.operators import labels
-from revlens.operators.mrr import customer_month
+from revlens.operators.mrr import _period_col, customer_period
 from revlens.operators.ordering import pg_order
 
 
-def _gap_after(current: Column, nxt: Column) -> Column:
-    """True when there is no next active month or it is not the following month."""
-    return nxt.isNull() | (nxt > next_month(current))
+def _gap_after(current: Column, nxt: Column, period: str = "month") -> Column:
+    """True when there is no next active period or it is not the following one."""
+    return nxt.isNull() | (nxt > next_period(current, period))
 
 
 def _drop_last_month(df: DataFrame, month_col: str, exclude_last: bool) -> DataFrame:
@@ -58,48 +58,52 @@ def churn_status(C: DataFrame, exclude_last: bool = False) -> DataFrame:
     return pg_order(flagged, "customer_id", "current_month")
 
 
-def _active_months(C: DataFrame) -> DataFrame:
-    """customer_id -> ascending array of its distinct active months.
+def _active_months(C: DataFrame, period: str = "month") -> DataFrame:
+    """customer_id -> ascending array of its distinct active periods (months by default).
 
     One shuffle by customer; sets are merged map-side and bounded by the
-    calendar (one entry per month), however many sales a customer has.
+    calendar (one entry per period), however many sales a customer has.
     """
-    return C.groupBy("customer_id").agg(F.array_sort(F.collect_set("order_month")).alias("_months"))
+    col = f"order_{period}"
+    return _period_col(C, period).groupBy("customer_id").agg(F.array_sort(F.collect_set(col)).alias("_months"))
 
 
-def _months_with_next(C: DataFrame) -> DataFrame:
-    """One row per (customer_id, month) with the customer's next active month (LEAD without a window)."""
+def _months_with_next(C: DataFrame, period: str = "month") -> DataFrame:
+    """One row per (customer_id, period) with the customer's next active period (LEAD without a window)."""
     months = F.col("_months")
     pairs = F.transform(
-        months, lambda m, i: F.struct(m.alias("month"), F.try_element_at(months, i + 2).alias("next_active_month"))
+        months, lambda m, i: F.struct(m.alias(period), F.try_element_at(months, i + 2).alias("next_active_month"))
     )
-    return _active_months(C).select("customer_id", F.inline(pairs))
+    return _active_months(C, period).select("customer_id", F.inline(pairs))
 
 
-def _grain_with_next(C: DataFrame) -> DataFrame:
-    """customer-month grain + next active month + churned flag (0/1)."""
-    g = customer_month(C)
-    w = Window.partitionBy("customer_id").orderBy(F.col("order_month").asc_nulls_last())
-    g = g.withColumn("next_active_month", F.lead("order_month", 1).over(w))
+def _grain_with_next(C: DataFrame, period: str = "month") -> DataFrame:
+    """customer-period grain + next active period + churned flag (0/1)."""
+    col = f"order_{period}"
+    g = customer_period(C, period)
+    w = Window.partitionBy("customer_id").orderBy(F.col(col).asc_nulls_last())
+    g = g.withColumn("next_active_month", F.lead(col, 1).over(w))
     return g.withColumn(
-        "churned", F.when(_gap_after(F.col("order_month"), F.col("next_active_month")), 1).otherwise(0)
+        "churned", F.when(_gap_after(F.col(col), F.col("next_active_month"), period), 1).otherwise(0)
     )
 
 
-def monthly_churn(C: DataFrame, exclude_last: bool = False) -> DataFrame:
-    """month, active, churned, retained customers and churn / retention rates (2 dp).
+def monthly_churn(C: DataFrame, exclude_last: bool = False, period: str = "month") -> DataFrame:
+    """<period>, active, churned, retained customers and churn / retention rates (2 dp).
 
     The rate divides by customers active *in* the month (the reference's
-    header says "at start of month"; its code does this).
+    header says "at start of month"; its code does this).  ``period`` =
+    quarter / year counts a customer as churned when the next active period
+    is not the following one.
     """
-    g = _months_with_next(C)
-    churned = F.when(_gap_after(F.col("month"), F.col("next_active_month")), 1).otherwise(0)
-    m = g.groupBy("month").agg(
+    g = _months_with_next(C, period)
+    churned = F.when(_gap_after(F.col(period), F.col("next_active_month"), period), 1).otherwise(0)
+    m = g.groupBy(period).agg(
         F.count(F.lit(1)).alias("total_active_customers"), F.sum(churned).alias("churned_customers")
     )
-    m = _drop_last_month(m, "month", exclude_last)
+    m = _drop_last_month(m, period, exclude_last)
     out = m.select(
-        "month",
+        period,
         "total_active_customers",
         "churned_customers",
         (F.col("total_active_customers") - F.col("churned_customers")).alias("retained_customers"),
@@ -108,7 +112,7 @@ def monthly_churn(C: DataFrame, exclude_last: bool = False) -> DataFrame:
             "retention_rate_pct"
         ),
     )
-    return pg_order(out, "month")
+    return pg_order(out, period)
 
 
 def monthly_churn_brief(C: DataFrame) -> DataFrame:
@@ -174,17 +178,17 @@ def cohort_retention(C: DataFrame, digits: int = 1) -> DataFrame:
     return pg_order(out, "cohort_month", "months_since_join")
 
 
-def revenue_churn(C: DataFrame) -> DataFrame:
-    """month, total_mrr, churned_mrr (NULL when nobody churned), revenue_churn_rate_pct."""
-    g = _grain_with_next(C)
-    m = g.groupBy(F.col("order_month").alias("month")).agg(
+def revenue_churn(C: DataFrame, period: str = "month") -> DataFrame:
+    """<period>, total_mrr, churned_mrr (NULL when nobody churned), revenue_churn_rate_pct."""
+    g = _grain_with_next(C, period)
+    m = g.groupBy(F.col(f"order_{period}").alias(period)).agg(
         F.sum(F.when(F.col("churned") == 1, F.col("revenue"))).alias("_churned"),
         F.sum("revenue").alias("_total"),
     )
     out = m.select(
-        "month",
+        period,
         money("_total").alias("total_mrr"),
         money("_churned").alias("churned_mrr"),
         round_ratio("_churned", "_total", mult=100).alias("revenue_churn_rate_pct"),
     )
-    return pg_order(out, "month")
+    return pg_order(out, period)

@@ -13,20 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.dates import month_label, quarter_label, quarter_start
+from revlens.functions.dates import PERIODS, month_label, period_start, quarter_label, quarter_start
 from revlens.functions.numeric import exact_avg, money, pct, round_ratio
 from revlens.operators import labels
 from revlens.operators.breakdown import revenue_breakdown
 from revlens.operators.ordering import pg_order
 
 
-def _by_month() -> Window:
-    """Month order for the per-month series (one row per month: a bounded single partition).
+def _by_month(col: str = "month") -> Window:
+    """Period order for the per-period series (one row per period: a bounded single partition).
 
     ASC NULLS LAST as in PostgreSQL; it also equals the final ORDER BY, so the
     window's sorted single partition already satisfies it (no extra exchange).
     """
-    return Window.orderBy(F.col("month").asc_nulls_last())
+    return Window.orderBy(F.col(col).asc_nulls_last())
+
+
+def _period_col(C: DataFrame, period: str) -> DataFrame:
+    """Add the period start as ``order_<period>`` (``order_month`` already exists)."""
+    if period == "month":
+        return C
+    return C.withColumn(f"order_{period}", period_start("order_month", period))
 
 
 def customer_month(C: DataFrame) -> DataFrame:
@@ -34,13 +41,20 @@ def customer_month(C: DataFrame) -> DataFrame:
     return C.groupBy("customer_id", "order_month").agg(F.sum("sales").alias("revenue"))
 
 
-def monthly_totals(C: DataFrame) -> DataFrame:
-    """month -> active_customers, _rev (unrounded) from the customer-month grain."""
+def customer_period(C: DataFrame, period: str = "month") -> DataFrame:
+    """(customer_id, order_<period>) -> revenue: the customer-month grain for any period."""
+    col = f"order_{period}"
+    return _period_col(C, period).groupBy("customer_id", col).agg(F.sum("sales").alias("revenue"))
+
+
+def monthly_totals(C: DataFrame, period: str = "month") -> DataFrame:
+    """<period> -> active_customers, _rev (unrounded) from the customer-period grain."""
+    col = f"order_{period}"
     return (
-        customer_month(C)
-        .groupBy("order_month")
+        customer_period(C, period)
+        .groupBy(col)
         .agg(F.count(F.lit(1)).alias("active_customers"), F.sum("revenue").alias("_rev"))
-        .withColumnRenamed("order_month", "month")
+        .withColumnRenamed(col, period)
     )
 
 
@@ -59,22 +73,30 @@ def mrr_monthly(C: DataFrame) -> DataFrame:
     return pg_order(out, "month")
 
 
-def mrr_growth(C: DataFrame) -> DataFrame:
-    """MRR with previous month (LAG), absolute change and month-over-month growth %."""
-    m = monthly_totals(C).select("month", "active_customers", money("_rev").alias("mrr"))
-    prev = F.lag("mrr", 1).over(_by_month())
-    m = m.withColumn("prev_month_mrr", prev)
+_GROWTH = {"month": "mom", "quarter": "qoq", "year": "yoy"}
+
+
+def mrr_growth(C: DataFrame, period: str = "month") -> DataFrame:
+    """Revenue per period with the previous period (LAG), absolute change and growth %.
+
+    ``period`` is month (the reference), quarter or year; columns are named
+    after it (``prev_month_mrr`` / ``mom_growth_rate_pct`` for months,
+    ``prev_quarter_mrr`` / ``qoq_growth_rate_pct`` for quarters, ...).
+    """
+    prev_col, growth_col = f"prev_{period}_mrr", f"{_GROWTH[period]}_growth_rate_pct"
+    m = monthly_totals(C, period).select(period, "active_customers", money("_rev").alias("mrr"))
+    m = m.withColumn(prev_col, F.lag("mrr", 1).over(_by_month(period)))
     out = m.select(
-        "month",
+        period,
         "active_customers",
         "mrr",
-        "prev_month_mrr",
-        (F.col("mrr") - F.coalesce("prev_month_mrr", F.lit(0))).alias("mrr_change"),
-        F.when(F.col("prev_month_mrr").isNull(), F.lit(None))
-        .otherwise(pct(F.col("mrr") - F.col("prev_month_mrr"), "prev_month_mrr"))
-        .alias("mom_growth_rate_pct"),
+        prev_col,
+        (F.col("mrr") - F.coalesce(prev_col, F.lit(0))).alias("mrr_change"),
+        F.when(F.col(prev_col).isNull(), F.lit(None))
+        .otherwise(pct(F.col("mrr") - F.col(prev_col), prev_col))
+        .alias(growth_col),
     )
-    return pg_order(out, "month")
+    return pg_order(out, period)
 
 
 def mrr_growth_brief(C: DataFrame) -> DataFrame:
@@ -83,18 +105,19 @@ def mrr_growth_brief(C: DataFrame) -> DataFrame:
     return g.select("month", "mrr", "prev_month_mrr", F.col("mom_growth_rate_pct").alias("mom_growth_pct"))
 
 
-def mrr_running(C: DataFrame, window: int = 3) -> DataFrame:
-    """Cumulative revenue (default RANGE frame) and a rolling average over the last ``window`` rows."""
-    m = monthly_totals(C).select("month", money("_rev").alias("mrr"))
-    run = _by_month()  # RANGE UNBOUNDED PRECEDING .. CURRENT ROW
-    roll = _by_month().rowsBetween(-(window - 1), Window.currentRow)
+def mrr_running(C: DataFrame, window: int = 3, period: str = "month") -> DataFrame:
+    """Cumulative revenue (default RANGE frame) and a rolling average over the last ``window`` periods (rows)."""
+    m = monthly_totals(C, period).select(period, money("_rev").alias("mrr"))
+    run = _by_month(period)  # RANGE UNBOUNDED PRECEDING .. CURRENT ROW
+    roll = _by_month(period).rowsBetween(-(window - 1), Window.currentRow)
+    tag = PERIODS[period][2]
     out = m.select(
-        "month",
+        period,
         "mrr",
         money(F.sum("mrr").over(run)).alias("cumulative_revenue"),
-        exact_avg(F.sum("mrr").over(roll), F.count("mrr").over(roll)).alias(f"rolling_{window}m_avg_mrr"),
+        exact_avg(F.sum("mrr").over(roll), F.count("mrr").over(roll)).alias(f"rolling_{window}{tag}_avg_mrr"),
     )
-    return pg_order(out, "month")
+    return pg_order(out, period)
 
 
 def quarterly_summary(C: DataFrame) -> DataFrame:

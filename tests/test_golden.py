@@ -170,3 +170,20 @@ def test_quality_report_equals_separate_checks(raw):
     for df in (ops.load_profile(raw), ops.null_profile(raw), ops.date_coverage(raw), ops.nonpositive_sales(raw)):
         separate.update(df.first().asDict())
     assert one == separate
+
+
+def test_period_parameter(C):
+    q1, q2 = dt.date(2023, 1, 1), dt.date(2023, 4, 1)
+    g = {r.quarter: (r.mrr, r.prev_quarter_mrr, r.qoq_growth_rate_pct) for r in ops.mrr_growth(C, period="quarter").collect()}
+    assert g == {q1: (D("930.00"), None, None), q2: (D("70.00"), D("930.00"), D("-92.47"))}
+    # quarterly MRR equals the quarterly summary's revenue and distinct customers
+    qs = {r.quarter_start: (r.quarterly_revenue, r.active_customers) for r in ops.quarterly_summary(C).collect()}
+    mg = {r.quarter: (r.mrr, r.active_customers) for r in ops.mrr_growth(C, period="quarter").collect()}
+    assert qs == mg
+    # Q1: C1 returns in Q2 (retained), C2 and C3 never return (churned); Q2: C1 is the last -> churned
+    ch = {r.quarter: (r.total_active_customers, r.churned_customers) for r in ops.monthly_churn(C, period="quarter").collect()}
+    assert ch == {q1: (3, 2), q2: (1, 1)}
+    rc = {r.quarter: (r.churned_mrr, r.revenue_churn_rate_pct) for r in ops.revenue_churn(C, period="quarter").collect()}
+    assert rc[q1] == (D("750.00"), D("80.65"))  # (350 + 400) / 930
+    yr = ops.mrr_running(C, window=2, period="year").collect()
+    assert [(r.year, r.cumulative_revenue, r.rolling_2y_avg_mrr) for r in yr] == [(q1, D("1000.00"), D("1000.00"))]
