@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.dates import month_index, months_apart, next_period
+from revlens.functions.dates import PERIODS, month_index, months_apart, next_period
 from revlens.functions.numeric import money, pct, round_ratio
 from revlens.operators import labels
 from revlens.operators.mrr import _period_col, customer_period
@@ -150,7 +150,7 @@ def churned_revenue_list(C: DataFrame) -> DataFrame:
     return pg_order(out, "churn_month", "-last_month_revenue")
 
 
-def cohort_retention(C: DataFrame, digits: int = 1) -> DataFrame:
+def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month") -> DataFrame:
     """cohort_month, original_cohort_size, months_since_join, active_customers, retention_pct.
 
     Cohort = first active month, read off each customer's sorted month set
@@ -159,23 +159,22 @@ def cohort_retention(C: DataFrame, digits: int = 1) -> DataFrame:
     the age-0 count, taken with a window over the aggregated rows (at most
     one row per month per cohort) instead of a join.
     """
-    g = _active_months(C).select(
-        F.array_min("_months").alias("cohort_month"), F.explode("_months").alias("order_month")
-    )
-    g = g.withColumn("months_since_join", months_apart("order_month", "cohort_month"))
-    a = g.groupBy("cohort_month", "months_since_join").agg(F.count(F.lit(1)).alias("active_customers"))
-    size = F.max(F.when(F.col("months_since_join") == 0, F.col("active_customers"))).over(
-        Window.partitionBy("cohort_month")
+    cohort, age = f"cohort_{period}", f"{period}s_since_join"
+    g = _active_months(C, period).select(
+        F.array_min("_months").alias(cohort), F.explode("_months").alias("_at")
     )
+    g = g.withColumn(age, (months_apart("_at", cohort) / PERIODS[period][1]).cast("int"))
+    a = g.groupBy(cohort, age).agg(F.count(F.lit(1)).alias("active_customers"))
+    size = F.max(F.when(F.col(age) == 0, F.col("active_customers"))).over(Window.partitionBy(cohort))
     a = a.withColumn("original_cohort_size", size)
     out = a.select(
-        "cohort_month",
+        cohort,
         "original_cohort_size",
-        "months_since_join",
+        age,
         "active_customers",
         pct("active_customers", "original_cohort_size", digits).alias("retention_pct"),
     )
-    return pg_order(out, "cohort_month", "months_since_join")
+    return pg_order(out, cohort, age)
 
 
 def revenue_churn(C: DataFrame, period: str = "month") -> DataFrame:

@@ -187,3 +187,10 @@ def test_period_parameter(C):
     assert rc[q1] == (D("750.00"), D("80.65"))  # (350 + 400) / 930
     yr = ops.mrr_running(C, window=2, period="year").collect()
     assert [(r.year, r.cumulative_revenue, r.rolling_2y_avg_mrr) for r in yr] == [(q1, D("1000.00"), D("1000.00"))]
+
+
+def test_quarterly_cohorts(C):
+    co = {(r.cohort_quarter, r.quarters_since_join): (r.original_cohort_size, r.active_customers, r.retention_pct)
+          for r in ops.cohort_retention(C, period="quarter").collect()}
+    q1 = dt.date(2023, 1, 1)
+    assert co == {(q1, 0): (3, 3, D("100.0")), (q1, 1): (3, 1, D("33.3"))}
