@@ -163,27 +163,30 @@ def best_worst_months(C: DataFrame, n: int = 3, pad_label: bool = True) -> DataF
     return pg_order(out, "-mrr")
 
 
-def arpu_monthly(C: DataFrame) -> DataFrame:
-    """month, active_customers, mrr, monthly_arpu and its change vs the previous month.
+_ADJ = {"month": "monthly", "quarter": "quarterly", "year": "yearly"}
+
+
+def arpu_monthly(C: DataFrame, period: str = "month") -> DataFrame:
+    """<period>, active_customers, mrr, <periodic>_arpu and its change vs the previous period.
 
     The change is LAG over the *unrounded* ARPU, computed exactly as
     (rev1*n0 - rev0*n1) / (n1*n0) and rounded once.
     """
-    m = monthly_totals(C)
-    w = _by_month()
+    m = monthly_totals(C, period)
+    w = _by_month(period)
     m = m.withColumn("_prev_rev", F.lag("_rev", 1).over(w)).withColumn("_prev_n", F.lag("active_customers", 1).over(w))
     change = round_ratio(
         F.col("_rev") * F.col("_prev_n") - F.col("_prev_rev") * F.col("active_customers"),
         F.col("active_customers") * F.col("_prev_n"),
     )
     out = m.select(
-        "month",
+        period,
         "active_customers",
         money("_rev").alias("mrr"),
-        round_ratio("_rev", "active_customers").alias("monthly_arpu"),
-        change.alias("arpu_change_vs_prev_month"),
+        round_ratio("_rev", "active_customers").alias(f"{_ADJ[period]}_arpu"),
+        change.alias(f"arpu_change_vs_prev_{period}"),
     )
-    return pg_order(out, "month")
+    return pg_order(out, period)
 
 
 def executive_summary(C: DataFrame) -> DataFrame:

@@ -194,3 +194,9 @@ def test_quarterly_cohorts(C):
           for r in ops.cohort_retention(C, period="quarter").collect()}
     q1 = dt.date(2023, 1, 1)
     assert co == {(q1, 0): (3, 3, D("100.0")), (q1, 1): (3, 1, D("33.3"))}
+
+
+def test_quarterly_arpu(C):
+    rows = {r.quarter: (r.quarterly_arpu, r.arpu_change_vs_prev_quarter) for r in ops.arpu_monthly(C, period="quarter").collect()}
+    # Q1: 930 over 3 customers = 310.00; Q2: 70 over 1 = 70.00, change -240.00
+    assert rows == {dt.date(2023, 1, 1): (D("310.00"), None), dt.date(2023, 4, 1): (D("70.00"), D("-240.00"))}
