@@ -2,7 +2,9 @@
 
 A customer-month is *churned* when the customer's next active month is
 missing or later than the following calendar month; a returning customer is
-counted as churned at each gap.  The last month of the data is therefore
+counted as churned at each gap.  ``period`` (month/quarter/year) and ``gap``
+(how many periods may pass before it counts) generalise the rule; the
+defaults are the reference's.  The last month of the data is therefore
 always 100 % churned (right-censored); pass ``exclude_last=True`` to drop it.
 
 Per-customer work runs either on a customer's sorted set of active months
@@ -24,9 +26,10 @@ from revlens.operators.mrr import _period_col, customer_period
 from revlens.operators.ordering import pg_order
 
 
-def _gap_after(current: Column, nxt: Column, period: str = "month") -> Column:
-    """True when there is no next active period or it is not the following one."""
-    return nxt.isNull() | (nxt > next_period(current, period))
+def _gap_after(current: Column, nxt: Column, period: str = "month", gap: int = 1) -> Column:
+    """True when there is no next active period or it is more than ``gap`` periods later."""
+    limit = F.add_months(current, PERIODS[period][1] * gap) if gap != 1 else next_period(current, period)
+    return nxt.isNull() | (nxt > limit)
 
 
 def _drop_last_month(df: DataFrame, month_col: str, exclude_last: bool) -> DataFrame:
@@ -36,26 +39,27 @@ def _drop_last_month(df: DataFrame, month_col: str, exclude_last: bool) -> DataF
     return df.where(F.col(month_col) < last)
 
 
-def churn_status(C: DataFrame, exclude_last: bool = False) -> DataFrame:
+def churn_status(C: DataFrame, exclude_last: bool = False, period: str = "month", gap: int = 1) -> DataFrame:
     """Per distinct (customer_id, customer, month): next active month and Churned/Retained.
 
     As in the reference, ``customer`` is part of the DISTINCT but not of the
     window partition: an id with two names in one month sees its own month as
     "next" for the first name (ordered by name) and is Retained there.
     """
-    active = C.select("customer_id", "customer", "order_month").distinct()
-    w = Window.partitionBy("customer_id").orderBy(F.col("order_month").asc_nulls_last(), F.col("customer").asc_nulls_last())
+    col, cur, nxt = f"order_{period}", f"current_{period}", f"next_active_{period}"
+    active = _period_col(C, period).select("customer_id", "customer", col).distinct()
+    w = Window.partitionBy("customer_id").orderBy(F.col(col).asc_nulls_last(), F.col("customer").asc_nulls_last())
     flagged = active.select(
         "customer_id",
         "customer",
-        F.col("order_month").alias("current_month"),
-        F.lead("order_month", 1).over(w).alias("next_active_month"),
+        F.col(col).alias(cur),
+        F.lead(col, 1).over(w).alias(nxt),
     ).withColumn(
         "churn_status",
-        F.when(_gap_after(F.col("current_month"), F.col("next_active_month")), labels.CHURNED).otherwise(labels.RETAINED),
+        F.when(_gap_after(F.col(cur), F.col(nxt), period, gap), labels.CHURNED).otherwise(labels.RETAINED),
     )
-    flagged = _drop_last_month(flagged, "current_month", exclude_last)
-    return pg_order(flagged, "customer_id", "current_month")
+    flagged = _drop_last_month(flagged, cur, exclude_last)
+    return pg_order(flagged, "customer_id", cur)
 
 
 def _active_months(C: DataFrame, period: str = "month") -> DataFrame:
@@ -77,18 +81,18 @@ def _months_with_next(C: DataFrame, period: str = "month") -> DataFrame:
     return _active_months(C, period).select("customer_id", F.inline(pairs))
 
 
-def _grain_with_next(C: DataFrame, period: str = "month") -> DataFrame:
+def _grain_with_next(C: DataFrame, period: str = "month", gap: int = 1) -> DataFrame:
     """customer-period grain + next active period + churned flag (0/1)."""
     col = f"order_{period}"
     g = customer_period(C, period)
     w = Window.partitionBy("customer_id").orderBy(F.col(col).asc_nulls_last())
     g = g.withColumn("next_active_month", F.lead(col, 1).over(w))
     return g.withColumn(
-        "churned", F.when(_gap_after(F.col(col), F.col("next_active_month"), period), 1).otherwise(0)
+        "churned", F.when(_gap_after(F.col(col), F.col("next_active_month"), period, gap), 1).otherwise(0)
     )
 
 
-def monthly_churn(C: DataFrame, exclude_last: bool = False, period: str = "month") -> DataFrame:
+def monthly_churn(C: DataFrame, exclude_last: bool = False, period: str = "month", gap: int = 1) -> DataFrame:
     """<period>, active, churned, retained customers and churn / retention rates (2 dp).
 
     The rate divides by customers active *in* the month (the reference's
@@ -97,7 +101,7 @@ def monthly_churn(C: DataFrame, exclude_last: bool = False, period: str = "month
     is not the following one.
     """
     g = _months_with_next(C, period)
-    churned = F.when(_gap_after(F.col(period), F.col("next_active_month"), period), 1).otherwise(0)
+    churned = F.when(_gap_after(F.col(period), F.col("next_active_month"), period, gap), 1).otherwise(0)
     m = g.groupBy(period).agg(
         F.count(F.lit(1)).alias("total_active_customers"), F.sum(churned).alias("churned_customers")
     )
@@ -177,9 +181,9 @@ def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month") -> Da
     return pg_order(out, cohort, age)
 
 
-def revenue_churn(C: DataFrame, period: str = "month") -> DataFrame:
+def revenue_churn(C: DataFrame, period: str = "month", gap: int = 1) -> DataFrame:
     """<period>, total_mrr, churned_mrr (NULL when nobody churned), revenue_churn_rate_pct."""
-    g = _grain_with_next(C, period)
+    g = _grain_with_next(C, period, gap)
     m = g.groupBy(F.col(f"order_{period}").alias(period)).agg(
         F.sum(F.when(F.col("churned") == 1, F.col("revenue"))).alias("_churned"),
         F.sum("revenue").alias("_total"),

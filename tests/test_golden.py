@@ -200,3 +200,14 @@ def test_quarterly_arpu(C):
     rows = {r.quarter: (r.quarterly_arpu, r.arpu_change_vs_prev_quarter) for r in ops.arpu_monthly(C, period="quarter").collect()}
     # Q1: 930 over 3 customers = 310.00; Q2: 70 over 1 = 70.00, change -240.00
     assert rows == {dt.date(2023, 1, 1): (D("310.00"), None), dt.date(2023, 4, 1): (D("70.00"), D("-240.00"))}
+
+
+def test_churn_gap_parameter(C):
+    feb = dt.date(2023, 2, 1)
+    st1 = {(r.customer_id, r.current_month): r.churn_status for r in ops.churn_status(C).collect()}
+    st2 = {(r.customer_id, r.current_month): r.churn_status for r in ops.churn_status(C, gap=2).collect()}
+    assert st1[("C1", feb)] == L.CHURNED and st2[("C1", feb)] == L.RETAINED  # next active month is April
+    m2 = {r.month: r.churned_customers for r in ops.monthly_churn(C, gap=2).collect()}
+    assert m2[feb] == 1  # only C3 (never returns)
+    q = {(r.customer_id, r.current_quarter): r.churn_status for r in ops.churn_status(C, period="quarter").collect()}
+    assert q[("C1", dt.date(2023, 1, 1))] == L.RETAINED and q[("C2", dt.date(2023, 1, 1))] == L.CHURNED
