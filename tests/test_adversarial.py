@@ -107,3 +107,18 @@ def test_invariants(fixture):
     assert last == totals
     sizes = sorted(r["count"] for r in ops.customer_tiers(C).groupBy("revenue_quartile").count().collect())
     assert sizes[-1] - sizes[0] <= 1
+
+
+@pytest.mark.parametrize("period", ["month", "quarter", "year"])
+def test_period_invariants(fixture, period):
+    raw, C, _, _ = fixture
+    total = C.agg({"sales": "sum"}).first()[0]
+    mrr = ops.mrr_growth(C, period=period).collect()
+    assert sum(r.mrr for r in mrr) == total
+    for gap in (1, 2):
+        for r in ops.monthly_churn(C, period=period, gap=gap).collect():
+            assert r.retained_customers + r.churned_customers == r.total_active_customers
+    rc = ops.revenue_churn(C, period=period).collect()
+    assert sum(r.total_mrr for r in rc) == total
+    co = ops.cohort_retention(C, period=period).where(f"{period}s_since_join = 0").collect()
+    assert all(r.active_customers == r.original_cohort_size for r in co)
