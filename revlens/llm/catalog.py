@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from revlens.llm import mixing
+from revlens.llm import mixing, quality
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_quality": quality.op4_quality,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.SQL,
+    "op4_quality": quality.SQL,
 }
