@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from revlens.llm import mixing, quality
+from revlens.llm import mixing, quality, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
+    "op6_simhash": simhash.op6_simhash,
 }
 
 ORACLE_SQL = {
