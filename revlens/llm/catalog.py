@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from revlens.llm import language, mixing, quality, simhash, urls
+from revlens.llm import language, mixing, packing, quality, simhash, urls
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
+    "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_urls": urls.op7_urls,
     "op8_language": language.op8_language,
