@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from revlens.llm import language, mixing, packing, quality, simhash, urls
+from revlens.llm import chat, language, mixing, packing, quality, simhash, urls
 
 QUERIES = {
+    "op2_chat": chat.op2_chat,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
