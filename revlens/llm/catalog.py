@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import chat, language, lines, mixing, packing, quality, simhash, urls
+from revlens.llm import chat, fingerprint, language, lines, mixing, packing, quality, simhash, urls
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_urls": urls.op7_urls,
     "op8_language": language.op8_language,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_lines": lines.op10_lines,
 }
 
