@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from revlens.llm import chat, fingerprint, language, lines, mixing, packing, quality, simhash, urls
+from revlens.llm import chat, fingerprint, language, lines, mixing, packing, quality, repeats, simhash, urls
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op2_chat": chat.op2_chat,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
