@@ -66,10 +66,11 @@ def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x >= 0 that minimises |ax - b|, by the active set method."""
     n = a.shape[1]
+    gram, target = a.T @ a, a.T @ b
     x, free = np.zeros(n), np.zeros(n, dtype=bool)
     limit = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(3 * n):
-        w = a.T @ (b - a @ x)
+        w = target - gram @ x
         w[free] = -np.inf
         j = int(np.argmax(w))
         if w[j] <= limit:
@@ -77,7 +78,8 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         free[j] = True
         while True:
             s = np.zeros(n)
-            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            # the columns in use are independent but for rounding, hence the small ridge
+            s[free] = np.linalg.solve(gram[np.ix_(free, free)] + 1e-9 * np.eye(int(free.sum())), target[free])
             low = free & (s <= limit)
             if not low.any():
                 x = s
