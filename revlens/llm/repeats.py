@@ -48,6 +48,8 @@ ANCHOR = 24
 BLOCK = 8 << 20
 HOT = 64
 SLICE = 1 << 20
+#: Parts that a shard's segments are worked off in, one after another.
+PARTS = 16
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,7 +149,7 @@ def _repeated_anchors(part: pd.DataFrame, hot_from: int) -> pd.DataFrame:
 
 
 def _segments(part: pd.DataFrame, back: pd.DataFrame, shards: int):
-    """The block's distinct segments as {(shard, bytes): [places]}; a place is (document index, offset)."""
+    """The block's distinct segments as {(shard, part, bytes): [places]}; a place is (document index, offset)."""
     wide = lambda col: np.sort(
         np.concatenate(
             [np.zeros(0, np.uint64)]
@@ -163,20 +165,21 @@ def _segments(part: pd.DataFrame, back: pd.DataFrame, shards: int):
         at = np.minimum(np.searchsorted(among, keys), max(0, len(among) - 1))
         return among[at] == keys if len(among) else np.zeros(len(keys), bool)
 
-    found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    found: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
     for i, (_, data) in enumerate(_texts(part)):
         raw = data.tobytes()
         for anchors, first, end in anchor_runs(data):
             keys = _key(anchors, shards)
             for r in np.flatnonzero(known(keys, value)).tolist():
-                at = int(first[r])
-                found.setdefault((int(keys[r] >> np.uint64(32)), raw[at : int(end[r]) + LEAST - 1]), []).append((i, at))
+                at, key = int(first[r]), int(keys[r])
+                found.setdefault((key >> 32, key % PARTS, raw[at : int(end[r]) + LEAST - 1]), []).append((i, at))
             runs = np.flatnonzero(known(keys, hot))
             if len(runs):
-                to = (window_hashes(data, LEAST) % np.uint64(shards)).astype(np.int64)
                 for r in runs.tolist():
-                    for at in range(int(first[r]), int(end[r])):
-                        found.setdefault((int(to[at]), raw[at : at + LEAST]), []).append((i, at))
+                    a, b = int(first[r]), int(end[r])
+                    to = _key(window_hashes(data[a : b + LEAST - 1], LEAST), shards).tolist()
+                    for at, key in zip(range(a, b), to):
+                        found.setdefault((key >> 32, key % PARTS, raw[at : at + LEAST]), []).append((i, at))
     return found
 
 
@@ -184,16 +187,16 @@ def _block_segments(part: pd.DataFrame, back: pd.DataFrame, shards: int) -> pd.D
     """Per shard the block's segments: their bytes, lengths, numbers, smallest and largest documents."""
     ids = part["d"].to_numpy()
     by: dict[int, list] = {}
-    for n, ((shard, raw), places) in enumerate(_segments(part, back, shards).items()):
+    for n, ((shard, turn, raw), places) in enumerate(_segments(part, back, shards).items()):
         docs = [ids[i] for i, _ in places]
-        by.setdefault(shard, []).append((raw, n, min(docs), max(docs)))
+        by.setdefault(shard, []).append((turn, raw, n, min(docs), max(docs)))
     rows = []
     for shard, found in by.items():
-        raw, n, lo, hi = zip(*found)
-        sizes = np.array([len(x) for x in raw], np.int64)
-        as_bytes = lambda x: np.array(x, np.int64).tobytes()
-        rows.append((shard, int(part["block"].iloc[0]), b"".join(raw), sizes.tobytes(), as_bytes(n), as_bytes(lo), as_bytes(hi)))
-    return pd.DataFrame(rows, columns=["shard", "block", "raw", "size", "n", "lo", "hi"])
+        found.sort(key=lambda x: x[0])
+        turn, raw, n, lo, hi = zip(*found)
+        numbers = np.array([turn, [len(x) for x in raw], n, lo, hi], np.int64)
+        rows.append((shard, int(part["block"].iloc[0]), b"".join(raw), numbers.tobytes()))
+    return pd.DataFrame(rows, columns=["shard", "block", "raw", "numbers"])
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,11 +280,33 @@ def maximal_repeats(
 
 
 def _shard_spans(part: pd.DataFrame) -> pd.DataFrame:
-    """Spans of the shard's maximal repeats for every segment that has a smaller document in the repeat."""
-    ints = lambda col: [np.frombuffer(b, np.int64) for b in part[col]]
-    sizes, numbers, lo, hi = (np.concatenate(ints(c)) for c in ("size", "n", "lo", "hi"))
-    block = np.repeat(part["block"].to_numpy(), [len(x) for x in ints("size")])
-    text = np.frombuffer(b"".join(part["raw"]), np.uint8)
+    """Spans of the shard's maximal repeats, part after part, by block."""
+    blobs = [(b, raw, np.frombuffer(x, np.int64).reshape(5, -1)) for b, raw, x in zip(part["block"], part["raw"], part["numbers"])]
+    ends = [np.concatenate([[0], np.cumsum(x[1])]) for _, _, x in blobs]
+    out = []
+    for turn in range(PARTS):
+        some = []
+        for (b, raw, x), end in zip(blobs, ends):
+            i, j = np.searchsorted(x[0], [turn, turn + 1])
+            some.append((b, raw[end[i] : end[j]], x[1:, i:j]))
+        text = np.frombuffer(b"".join([raw for _, raw, _ in some]), np.uint8)
+        block = np.repeat([b for b, _, _ in some], [x.shape[1] for _, _, x in some])
+        out.append(_part_spans(text, block, *np.concatenate([x for _, _, x in some], axis=1)))
+    spans = np.concatenate(out)
+    if not len(spans):
+        return pd.DataFrame({"block": [], "spans": []})
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    blocks, at = np.unique(spans[:, 0], return_index=True)
+    each = np.split(spans[:, 1:], at[1:])
+    return pd.DataFrame({"block": blocks, "spans": [np.ascontiguousarray(s).tobytes() for s in each]})
+
+
+def _part_spans(text, block, sizes, numbers, lo, hi) -> np.ndarray:
+    """Rows (block, segment, offset, length, smallest document) for every segment that has a
+    smaller document in a maximal repeat."""
+    none = np.zeros((0, 5), np.int64)
+    if not len(sizes):
+        return none
     begin = np.cumsum(sizes) - sizes
     windows = sizes - LEAST + 1
     seg = np.repeat(np.arange(len(sizes)), windows)
@@ -296,7 +321,7 @@ def _shard_spans(part: pd.DataFrame) -> pd.DataFrame:
     twice[by[:-1][same]] = True
     seg, offset, starts = seg[twice], offset[twice], starts[twice]
     if not len(seg):
-        return pd.DataFrame({"block": [], "spans": []})
+        return none
     order, lcp = suffix_array(text, starts, sizes[seg] - offset)
     seg, offset, starts = seg[order], offset[order], starts[order]
     left = np.where(offset > 0, text[np.maximum(starts - 1, 0)].astype(np.int64), -1)
@@ -318,13 +343,7 @@ def _shard_spans(part: pd.DataFrame) -> pd.DataFrame:
             out.append(
                 np.stack([block[rows[hit]], numbers[rows[hit]], offset[first:end][hit], np.full(hit.sum(), length), np.full(hit.sum(), m)])
             )
-    if not out:
-        return pd.DataFrame({"block": [], "spans": []})
-    spans = np.concatenate(out, axis=1).T
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    blocks, at = np.unique(spans[:, 0], return_index=True)
-    each = np.split(spans[:, 1:], at[1:])
-    return pd.DataFrame({"block": blocks, "spans": [np.ascontiguousarray(s).tobytes() for s in each]})
+    return np.concatenate(out, axis=1).T if out else none
 
 
 def _apply(part: pd.DataFrame, back: pd.DataFrame, spans: list[bytes], shards: int) -> pd.DataFrame:
@@ -336,7 +355,7 @@ def _apply(part: pd.DataFrame, back: pd.DataFrame, spans: list[bytes], shards: i
     ids = part["d"].to_numpy()
     gone: dict[int, list[tuple[int, int]]] = {}
     if len(back):
-        for n, ((_, raw), places) in enumerate(_segments(part, back, shards).items()):
+        for n, ((_, _, raw), places) in enumerate(_segments(part, back, shards).items()):
             # the whole segment repeats for all but its smallest document in this block
             first = min(ids[i] for i, _ in places)
             for at, length, m in [(0, len(raw), first), *by.get(n, ())]:
@@ -398,7 +417,7 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
         .cogroup(by_block)
         .applyInPandas(
             lambda part, returned: _block_segments(part, returned, shards) if len(part) and len(returned) else _NO_SEGMENTS,
-            "shard long, block long, raw binary, size binary, n binary, lo binary, hi binary",
+            "shard long, block long, raw binary, numbers binary",
         )
     )
     spans = cut(cutouts.groupBy("shard").applyInPandas(_shard_spans, "block long, spans binary"), "repeats-spans")
@@ -427,7 +446,7 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
     return out.select(doc.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *more)
 
 
-_NO_SEGMENTS = pd.DataFrame({c: [] for c in ("shard", "block", "raw", "size", "n", "lo", "hi")})
+_NO_SEGMENTS = pd.DataFrame({c: [] for c in ("shard", "block", "raw", "numbers")})
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
