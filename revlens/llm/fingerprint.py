@@ -77,7 +77,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     d = d.select(*names, F.transform("__min", pair).alias("__pair"), F.transform("__min", place).alias("__bin"))
     bins = F.sequence(F.lit(-(BINS // 2)), F.lit(BINS // 2 - 1))
     one = lambda b: F.coalesce(F.get("__pair", (F.array_position("__bin", b) - 1).cast("int")), F.lit(EMPTY))
-    return d.select(*names, F.array_join(F.transform(bins, one), "").alias(out))
+    # Each array is named twice: an array named once, inside a lambda, would be put in place of
+    # its name by the optimiser and computed anew for every element.
+    ready = (F.size("__pair") >= 0) & (F.size("__bin") >= 0)
+    return d.select(*names, F.when(ready, F.array_join(F.transform(bins, one), "")).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
