@@ -15,9 +15,9 @@ a smaller ``doc_id``. No suffix array of the whole corpus is needed for that:
    stack: lcp-intervals of ``LEAST`` bytes or more that can be extended to the left by
    different letters (or not at all) are the maximal repeats, each with all its occurrences
    and its smallest doc_id. Occurrences in other documents return to their block as spans.
-4. Blocks find their segments again, apply the spans of smaller documents and join runs.
+4. Blocks apply the spans of smaller documents, join runs and hash what is left.
 
-Bounds: blocks hold about ``BLOCK`` bytes, anchor shards about ``BLOCK / 12`` anchors,
+Bounds: blocks hold about ``BLOCK`` bytes of text and shards what half as much text gives,
 whatever the corpus: their numbers grow with it. A passage that a third of all documents
 share counts once per block. Anchors that ``HOT`` blocks or more share (a common phrase
 with ever different text around it) have their windows sent one by one to shards of the
@@ -108,15 +108,14 @@ def _key(anchors: np.ndarray, shards: int) -> np.ndarray:
 def _block_anchors(part: pd.DataFrame, shards: int) -> pd.DataFrame:
     """Per shard the block's distinct anchors, and those in more than one of its documents."""
     keys, owners = [], []
-    for d, data in _texts(part):
+    for d, data in _texts(part.sort_values("d", kind="stable")):
         for anchors, _, _ in anchor_runs(data):
-            k = np.unique(_key(anchors, shards))
-            keys.append(k)
-            owners.append(np.full(len(k), d))
+            keys.append(_key(anchors, shards))
+            owners.append(np.full(len(anchors), d))
     if not keys:
         return pd.DataFrame({"shard": [], "block": [], "one": [], "many": []})
     k, d = np.concatenate(keys), np.concatenate(owners)
-    order = np.lexsort((d, k))
+    order = np.argsort(k, kind="stable")  # documents stay in order within a key
     k, d = k[order], d[order]
     fresh = np.concatenate([[True], k[1:] != k[:-1]])
     start = np.flatnonzero(fresh)
@@ -184,19 +183,30 @@ def _segments(part: pd.DataFrame, back: pd.DataFrame, shards: int):
 
 
 def _block_segments(part: pd.DataFrame, back: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """Per shard the block's segments: their bytes, lengths, numbers, smallest and largest documents."""
+    """Per shard the block's segments: their bytes, numbers (part, length, smallest and largest
+    document, places) and places (document index, offset).
+
+    A segment repeats as a whole for all but its smallest document in the block: those spans
+    are sent along in a row of their own, with the block's own negative shard.
+    """
     ids = part["d"].to_numpy()
+    block = int(part["block"].iloc[0])
     by: dict[int, list] = {}
-    for n, ((shard, turn, raw), places) in enumerate(_segments(part, back, shards).items()):
+    own = []
+    for (shard, turn, raw), places in _segments(part, back, shards).items():
         docs = [ids[i] for i, _ in places]
-        by.setdefault(shard, []).append((turn, raw, n, min(docs), max(docs)))
+        lo, hi = min(docs), max(docs)
+        by.setdefault(shard, []).append((turn, len(raw), lo, hi, len(places), raw, places))
+        if lo != hi:
+            own += [(i, at, at + len(raw), lo) for (i, at), d in zip(places, docs) if d > lo]
     rows = []
     for shard, found in by.items():
         found.sort(key=lambda x: x[0])
-        turn, raw, n, lo, hi = zip(*found)
-        numbers = np.array([turn, [len(x) for x in raw], n, lo, hi], np.int64)
-        rows.append((shard, int(part["block"].iloc[0]), b"".join(raw), numbers.tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "block", "raw", "numbers"])
+        numbers = np.array([x[:5] for x in found], np.int64)
+        places = np.array([p for x in found for p in x[6]], np.int64)
+        rows.append((shard, block, b"".join([x[5] for x in found]), numbers.tobytes(), places.tobytes()))
+    rows.append((-1 - block, block, b"", b"", np.array(own, np.int64).tobytes()))
+    return pd.DataFrame(rows, columns=["shard", "block", "raw", "numbers", "places"])
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,31 +290,46 @@ def maximal_repeats(
 
 
 def _shard_spans(part: pd.DataFrame) -> pd.DataFrame:
-    """Spans of the shard's maximal repeats, part after part, by block."""
-    blobs = [(b, raw, np.frombuffer(x, np.int64).reshape(5, -1)) for b, raw, x in zip(part["block"], part["raw"], part["numbers"])]
-    ends = [np.concatenate([[0], np.cumsum(x[1])]) for _, _, x in blobs]
+    """Spans (document index, start, end, smallest document) of the shard's maximal repeats, by block."""
+    if part["shard"].iloc[0] < 0:  # a block's own spans pass through
+        return pd.DataFrame({"block": part["block"], "spans": part["places"]})
+    blobs = []
+    for b, raw, x, places in zip(part["block"], part["raw"], part["numbers"], part["places"]):
+        x = np.frombuffer(x, np.int64).reshape(-1, 5)
+        ends = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(x[:, [1, 4]], axis=0)])
+        blobs.append((b, raw, x, np.frombuffer(places, np.int64).reshape(-1, 2), ends))
     out = []
     for turn in range(PARTS):
-        some = []
-        for (b, raw, x), end in zip(blobs, ends):
-            i, j = np.searchsorted(x[0], [turn, turn + 1])
-            some.append((b, raw[end[i] : end[j]], x[1:, i:j]))
-        text = np.frombuffer(b"".join([raw for _, raw, _ in some]), np.uint8)
-        block = np.repeat([b for b, _, _ in some], [x.shape[1] for _, _, x in some])
-        out.append(_part_spans(text, block, *np.concatenate([x for _, _, x in some], axis=1)))
-    spans = np.concatenate(out)
-    if not len(spans):
+        texts, blocks, numbers, places = [], [], [], []
+        for b, raw, x, at, ends in blobs:
+            i, j = np.searchsorted(x[:, 0], [turn, turn + 1])
+            texts.append(raw[ends[i, 0] : ends[j, 0]])
+            numbers.append(x[i:j, 1:])
+            places.append(at[ends[i, 1] : ends[j, 1]])
+            blocks.append(np.full(j - i, b))
+        numbers, places, block = np.concatenate(numbers), np.concatenate(places), np.concatenate(blocks)
+        seg, offset, length, m = _part_spans(np.frombuffer(b"".join(texts), np.uint8), *numbers[:, :3].T)
+        if len(seg):  # a span at each place of its segment
+            count = numbers[:, 3]
+            first = np.cumsum(count) - count
+            each = np.repeat(np.arange(len(seg)), count[seg])
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(count[seg]) - count[seg], count[seg])
+            doc, at = places[first[seg[each]] + nth].T
+            start = at + offset[each]
+            out.append(np.stack([block[seg[each]], doc, start, start + length[each], m[each]], axis=1))
+    if not out:
         return pd.DataFrame({"block": [], "spans": []})
+    spans = np.concatenate(out)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     blocks, at = np.unique(spans[:, 0], return_index=True)
     each = np.split(spans[:, 1:], at[1:])
     return pd.DataFrame({"block": blocks, "spans": [np.ascontiguousarray(s).tobytes() for s in each]})
 
 
-def _part_spans(text, block, sizes, numbers, lo, hi) -> np.ndarray:
-    """Rows (block, segment, offset, length, smallest document) for every segment that has a
-    smaller document in a maximal repeat."""
-    none = np.zeros((0, 5), np.int64)
+def _part_spans(text, sizes, lo, hi) -> np.ndarray:
+    """Columns (segment, offset, length, smallest document) for every segment whose largest
+    document is larger than the smallest in a maximal repeat."""
+    none = np.zeros((4, 0), np.int64)
     if not len(sizes):
         return none
     begin = np.cumsum(sizes) - sizes
@@ -334,34 +359,28 @@ def _part_spans(text, block, sizes, numbers, lo, hi) -> np.ndarray:
     diverse &= np.bincount(top) > 1
     stay = diverse[top]
     seg, offset, lcp, left = seg[stay], offset[stay], np.where(new, 0, lcp)[stay], left[stay]
-    out = []
-    for length, first, end in maximal_repeats(lcp, left):
-        rows = seg[first:end]
-        m = lo[rows].min()
-        hit = hi[rows] > m
-        if hit.any():
-            out.append(
-                np.stack([block[rows[hit]], numbers[rows[hit]], offset[first:end][hit], np.full(hit.sum(), length), np.full(hit.sum(), m)])
-            )
-    return np.concatenate(out, axis=1).T if out else none
-
-
-def _apply(part: pd.DataFrame, back: pd.DataFrame, spans: list[bytes], shards: int) -> pd.DataFrame:
+    found = np.array(maximal_repeats(lcp, left), np.int64).reshape(-1, 3)
+    if not len(found):
+        return none
+    length, first, end = found.T
+    members = end - first
+    each = np.repeat(np.arange(len(found)), members)
+    rows = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(members) - members, members)
+    m = np.minimum.reduceat(lo[seg[rows]], np.cumsum(members) - members)
+    hit = hi[seg[rows]] > m[each]
+    rows, each = rows[hit], each[hit]
+    return np.stack([seg[rows], offset[rows], length[each], m[each]])
+
+
+def _apply(part: pd.DataFrame, spans: list[bytes]) -> pd.DataFrame:
     """The block's documents with their removed runs and what is left."""
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for blob in spans:
-        for n, at, length, m in np.frombuffer(blob, np.int64).reshape(-1, 4).tolist():
-            by.setdefault(n, []).append((at, length, m))
     ids = part["d"].to_numpy()
     gone: dict[int, list[tuple[int, int]]] = {}
-    if len(back):
-        for n, ((_, _, raw), places) in enumerate(_segments(part, back, shards).items()):
-            # the whole segment repeats for all but its smallest document in this block
-            first = min(ids[i] for i, _ in places)
-            for at, length, m in [(0, len(raw), first), *by.get(n, ())]:
-                for i, offset in places:
-                    if ids[i] > m:
-                        gone.setdefault(i, []).append((offset + at, offset + at + length))
+    if spans:
+        all_ = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in spans])
+        all_ = all_[ids[all_[:, 0]] > all_[:, 3]]
+        for i, start, end in all_[:, :3].tolist():
+            gone.setdefault(i, []).append((start, end))
     rows = []
     for i, (d, data) in enumerate(_texts(part)):
         raw = data.tobytes()
@@ -394,7 +413,7 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
     )
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
-    shards = max(8, -(-total // (2 * block)))
+    shards = max(8, -(-total // (block // 2)))
     table = f"llm_texts_{uuid.uuid4().hex}"
     dealt = plain.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks)).cast("long"))
     dealt.repartition(blocks, "block").write.format("parquet").option("compression", "zstd").bucketBy(
@@ -411,30 +430,23 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
         ),
         "repeats-anchors",
     )
-    by_block = back.groupBy("block")
     cutouts = (
         texts.groupBy("block")
-        .cogroup(by_block)
+        .cogroup(back.groupBy("block"))
         .applyInPandas(
-            lambda part, returned: _block_segments(part, returned, shards) if len(part) and len(returned) else _NO_SEGMENTS,
-            "shard long, block long, raw binary, numbers binary",
+            lambda part, returned: _block_segments(_ordered(part), returned, shards) if len(part) and len(returned) else _NO_SEGMENTS,
+            "shard long, block long, raw binary, numbers binary, places binary",
         )
     )
     spans = cut(cutouts.groupBy("shard").applyInPandas(_shard_spans, "block long, spans binary"), "repeats-spans")
-    none = F.lit(None).cast("binary")
-    both = back.withColumn("spans", none).unionByName(
-        spans.select("block", F.lit(None).cast("long").alias("shard"), none.alias("value"), none.alias("hot"), "spans")
-    )
 
     def apply(part: pd.DataFrame, returned: pd.DataFrame) -> pd.DataFrame:
-        is_span = returned["spans"].notna()
-        anchors = returned[~is_span].astype({"shard": "int64"})
-        out = _apply(part, anchors, returned["spans"][is_span].tolist(), shards)
+        out = _apply(_ordered(part), returned["spans"].tolist())
         return out if with_text else out.assign(removed=None, kept=None)
 
     out = (
         texts.groupBy("block")
-        .cogroup(both.groupBy("block"))
+        .cogroup(spans.groupBy("block"))
         .applyInPandas(
             apply,
             "d long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
@@ -446,7 +458,12 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
     return out.select(doc.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *more)
 
 
-_NO_SEGMENTS = pd.DataFrame({c: [] for c in ("shard", "block", "raw", "numbers")})
+_NO_SEGMENTS = pd.DataFrame({c: [] for c in ("shard", "block", "raw", "numbers", "places")})
+
+
+def _ordered(part: pd.DataFrame) -> pd.DataFrame:
+    """A block's documents in an order that every pass finds again; equal rows are interchangeable."""
+    return part.sort_values(["d", "text"], kind="stable").reset_index(drop=True)
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
