@@ -56,7 +56,7 @@ from revlens.operators.quality import (  # noqa: F401
     sales_distribution_approx,
     suspicious_dates,
 )
-from revlens.operators.rank import global_prefix, ntile_of, percentiles_cont, rank_ntile  # noqa: F401
+from revlens.operators.rank import ntile_of, percentiles_cont, rank_ntile  # noqa: F401
 from revlens.operators.value import (  # noqa: F401
     cross_sell,
     customer_running_revenue,

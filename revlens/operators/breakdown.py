@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from revlens.functions.numeric import exact_avg, money, pct, round_ratio
 from revlens.operators import labels
 from revlens.operators.ordering import pg_sort_keys
-from revlens.session import freeze
 
 # measure kind -> (aggregates it needs, final expression over them)
 # distinct-count aggregates: exact COUNT(DISTINCT) or, with exact=False, HLL++ sketches
@@ -98,10 +97,8 @@ def revenue_breakdown(
             # Window over the aggregated rows, one partition per share_within key.
             total = F.sum("_rev").over(Window.partitionBy(*share_within))
         else:
-            # Freeze the aggregated rows (one per group) so the grand total is read
-            # from them, not from a second scan of the fact; no single-task window.
-            grouped = freeze(grouped)
-            total = grouped.select(F.sum("_rev")).scalar()
+            # A lazy scalar: one narrow column of the fact, summed map-side.
+            total = C.select(F.sum("sales").cast(grouped.schema["_rev"].dataType)).scalar()
         grouped = grouped.withColumn("_total_rev", total)
 
     cols = [F.col(k) for k in keys]

@@ -32,11 +32,12 @@ def _gap_after(current: Column, nxt: Column, period: str = "month", gap: int = 1
     return nxt.isNull() | (nxt > limit)
 
 
-def _drop_last_month(df: DataFrame, month_col: str, exclude_last: bool) -> DataFrame:
+def _drop_last(df: DataFrame, C: DataFrame, period: str, col: str, exclude_last: bool) -> DataFrame:
+    """Without the last period of ``C``, whose customers all look churned; read from one column of ``C``."""
     if not exclude_last:
         return df
-    last = df.select(F.max(month_col)).scalar()
-    return df.where(F.col(month_col) < last)
+    last = _period_col(C, period).select(F.max(f"order_{period}")).scalar()
+    return df.where(F.col(col) < last)
 
 
 def churn_status(C: DataFrame, exclude_last: bool = False, period: str = "month", gap: int = 1) -> DataFrame:
@@ -58,7 +59,7 @@ def churn_status(C: DataFrame, exclude_last: bool = False, period: str = "month"
         "churn_status",
         F.when(_gap_after(F.col(cur), F.col(nxt), period, gap), labels.CHURNED).otherwise(labels.RETAINED),
     )
-    flagged = _drop_last_month(flagged, cur, exclude_last)
+    flagged = _drop_last(flagged, C, period, cur, exclude_last)
     return pg_order(flagged, "customer_id", cur)
 
 
@@ -105,7 +106,7 @@ def monthly_churn(C: DataFrame, exclude_last: bool = False, period: str = "month
     m = g.groupBy(period).agg(
         F.count(F.lit(1)).alias("total_active_customers"), F.sum(churned).alias("churned_customers")
     )
-    m = _drop_last_month(m, period, exclude_last)
+    m = _drop_last(m, C, period, period, exclude_last)
     out = m.select(
         period,
         "total_active_customers",
@@ -130,8 +131,10 @@ def monthly_churn_brief(C: DataFrame) -> DataFrame:
     )
 
 
-def churned_revenue_list(C: DataFrame) -> DataFrame:
-    """Churned (customer, month) pairs with the revenue of that last month, per name/segment/region.
+def churned_revenue_list(
+    C: DataFrame, exclude_last: bool = False, period: str = "month", gap: int = 1
+) -> DataFrame:
+    """Churned (customer, period) pairs with the revenue of that last period, per name/segment/region.
 
     Join-free: aggregate the 5-key grain once, then find each customer's next
     active month with a RANGE window over month numbers (min month strictly
@@ -139,19 +142,20 @@ def churned_revenue_list(C: DataFrame) -> DataFrame:
     segments or regions in a month.  Same result as joining the churned pairs
     back to the sales rows, without re-shuffling the sales.
     """
-    g = C.groupBy("customer_id", "order_month", "customer", "segment", "region").agg(F.sum("sales").alias("_rev"))
-    g = g.withColumn("_m", month_index("order_month"))
+    col, cur = f"order_{period}", f"churn_{period}"
+    g = _period_col(C, period).groupBy("customer_id", col, "customer", "segment", "region").agg(F.sum("sales").alias("_rev"))
+    g = g.withColumn("_m", month_index(col))
     after = Window.partitionBy("customer_id").orderBy("_m").rangeBetween(1, Window.unboundedFollowing)
-    g = g.withColumn("_next", F.min("order_month").over(after))
-    out = g.where(_gap_after(F.col("order_month"), F.col("_next"))).select(
-        F.col("order_month").alias("churn_month"),
+    g = g.withColumn("_next", F.min(col).over(after))
+    out = g.where(_gap_after(F.col(col), F.col("_next"), period, gap)).select(
+        F.col(col).alias(cur),
         "customer_id",
         "customer",
         "segment",
         "region",
-        money("_rev").alias("last_month_revenue"),
+        money("_rev").alias(f"last_{period}_revenue"),
     )
-    return pg_order(out, "churn_month", "-last_month_revenue")
+    return pg_order(_drop_last(out, C, period, cur, exclude_last), cur, f"-last_{period}_revenue")
 
 
 def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month") -> DataFrame:
@@ -181,7 +185,7 @@ def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month") -> Da
     return pg_order(out, cohort, age)
 
 
-def revenue_churn(C: DataFrame, period: str = "month", gap: int = 1) -> DataFrame:
+def revenue_churn(C: DataFrame, period: str = "month", gap: int = 1, exclude_last: bool = False) -> DataFrame:
     """<period>, total_mrr, churned_mrr (NULL when nobody churned), revenue_churn_rate_pct."""
     g = _grain_with_next(C, period, gap)
     m = g.groupBy(F.col(f"order_{period}").alias(period)).agg(
@@ -194,4 +198,4 @@ def revenue_churn(C: DataFrame, period: str = "month", gap: int = 1) -> DataFram
         money("_churned").alias("churned_mrr"),
         round_ratio("_churned", "_total", mult=100).alias("revenue_churn_rate_pct"),
     )
-    return pg_order(out, period)
+    return pg_order(_drop_last(out, C, period, period, exclude_last), period)

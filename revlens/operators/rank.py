@@ -40,25 +40,6 @@ def _offsets(stats: DataFrame, count_col: str) -> DataFrame:
     )
 
 
-def global_prefix(df: DataFrame, order: list[Column], weight: str | None = None) -> DataFrame:
-    """Add ``_start``: 0-based position of each row's first unit in the global order.
-
-    With ``weight`` (a non-negative integral column) a row stands for that many
-    units (e.g. a distinct value and its count); ``_total`` is the sum of weights.
-    """
-    frozen = _ranged(df, order)
-    w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    frozen = frozen.withColumn("_w", w)
-    run = Window.partitionBy("_pid").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
-    local = frozen.withColumn("_local_end", F.sum("_w").over(run))
-    stats = _offsets(frozen.groupBy("_pid").agg(F.sum("_w").alias("_cnt")), "_cnt")
-    # stats has one row per range partition: a bounded broadcast.
-    out = local.join(F.broadcast(stats.select("_pid", "_offset", "_total")), "_pid")
-    return out.withColumn("_start", F.col("_offset") + F.col("_local_end") - F.col("_w")).drop(
-        "_local_end", "_offset", "_pid"
-    )
-
-
 def ntile_of(index0: Column, total: Column, n: int) -> Column:
     """NTILE(n) bucket of the row at 0-based position ``index0`` among ``total`` rows.
 

@@ -15,11 +15,14 @@ from revlens.operators.rank import rank_ntile
 TIER_KEYS = ("customer_id", "customer", "segment", "region")
 
 
-def customer_totals(C: DataFrame, keys: Sequence[str] = TIER_KEYS) -> DataFrame:
+def customer_totals(C: DataFrame, keys: Sequence[str] = TIER_KEYS, revenue_only: bool = False) -> DataFrame:
     """Lifetime totals per (customer_id, customer, segment, region): a customer with two regions is two rows."""
+    revenue = money(F.sum("sales")).alias("lifetime_revenue")
+    if revenue_only:
+        return C.groupBy(*keys).agg(revenue)
     return C.groupBy(*keys).agg(
         F.countDistinct("order_id").alias("total_orders"),
-        money(F.sum("sales")).alias("lifetime_revenue"),
+        revenue,
         F.min("order_date").alias("first_order"),
         F.max("order_date").alias("last_order"),
     )
@@ -33,23 +36,28 @@ def _tier_label(bucket, tier_labels: Sequence[str]):
 
 
 def customer_tiers(
-    C: DataFrame, n: int = 4, tier_labels: Sequence[str] = labels.TIERS, keys: Sequence[str] = TIER_KEYS
+    C: DataFrame,
+    n: int = 4,
+    tier_labels: Sequence[str] = labels.TIERS,
+    keys: Sequence[str] = TIER_KEYS,
+    revenue_only: bool = False,
 ) -> DataFrame:
-    """RANK and NTILE(n) of customers by lifetime revenue, with tier labels per bucket.
+    """RANK and NTILE(n) of customers by lifetime revenue, with one tier label per bucket.
+
+    ``revenue_only`` leaves out order counts and dates, and their share of the aggregation.
 
     Ranking is distributed (``rank_ntile``): no task ever holds all customers.
     NTILE ties are broken by the group keys so the buckets are deterministic.
     """
-    ct = customer_totals(C, keys)
+    if len(tier_labels) != n:
+        raise ValueError(f"{n} buckets need {n} tier labels, got {len(tier_labels)}")
+    ct = customer_totals(C, keys, revenue_only)
     ranked = rank_ntile(
         ct, "lifetime_revenue", list(keys), n=n, descending=True, rank_col="revenue_rank", ntile_col="revenue_quartile"
     )
     out = ranked.select(
-        *keys,
-        "total_orders",
-        "lifetime_revenue",
-        "first_order",
-        "last_order",
+        *[c for c in ct.columns if c in (*keys, "total_orders", "lifetime_revenue")],
+        *[c for c in ct.columns if c in ("first_order", "last_order")],
         "revenue_rank",
         F.col("revenue_quartile").cast("long").alias("revenue_quartile"),
         _tier_label(F.col("revenue_quartile"), tier_labels).alias("customer_tier"),
@@ -59,7 +67,7 @@ def customer_tiers(
 
 def customer_tiers_brief(C: DataFrame) -> DataFrame:
     """README variant: emoji-free labels, fewer columns."""
-    t = customer_tiers(C, tier_labels=labels.TIERS_BRIEF)
+    t = customer_tiers(C, tier_labels=labels.TIERS_BRIEF, revenue_only=True)
     return t.select("customer_id", "customer", "segment", "lifetime_revenue", "revenue_quartile", "customer_tier")
 
 

@@ -41,7 +41,7 @@ RAW_SCHEMA = StructType(
 
 RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
 
-# Declared VARCHAR(n) limits of the source table, checked by the CSV load profile.
+# Declared VARCHAR(n) limits of the source table, checked by sources.load_table.
 VARCHAR_LIMITS = {
     "order_id": 50,
     "contact_name": 100,

@@ -39,7 +39,7 @@ def local_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's reliable checkpoint folder; set a local one only if none is configured."""
+    """The session's reliable checkpoint folder; a local one is set only in local mode, where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -50,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     target = configured or tempfile.mkdtemp(prefix="revlens-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target

@@ -32,7 +32,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.plans.joins import bounded_broadcast
 from revlens.schema import RAW_SCHEMA
 
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
@@ -61,9 +60,9 @@ def star_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("p_product")
     )
 
-    # nation x region is a fixed ~25-row geography; broadcast it only after a size check.
-    geo = nation.join(bounded_broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    cust = customer.join(bounded_broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    # Spark's own size threshold decides on broadcasting nation and region, in bytes and without a job.
+    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    cust = customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     oc = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
     # lineitem meets part first, while its rows are still narrow, then orders+customer: the
     # second lineitem shuffle carries one short product string instead of all order/customer

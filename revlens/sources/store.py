@@ -77,12 +77,11 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.operators.clean import clean
 
     key = ("clean", *_key(spark, sf_dir))
+    raw = sales_table(spark, sf_dir)
     with _LOCK:
         df = _TABLES.get(key)
-    if df is None:
-        path = materialize(clean(sales_table(spark, sf_dir)), "saas_clean")
-        with _LOCK:
-            df = _TABLES.setdefault(key, spark.read.parquet(path))
+        if df is None:
+            df = _TABLES[key] = spark.read.parquet(materialize(clean(raw), "saas_clean"))
     return df
 
 
@@ -92,17 +91,31 @@ def sales_csv(spark: SparkSession, sf_dir: str) -> str:
     from revlens.sources.csv import write_csv
 
     key = ("csv", *_key(spark, sf_dir))
+    raw = sales_table(spark, sf_dir)
     with _LOCK:
         path = _TABLES.get(key)
-    if path is None:
-        base = checkpoint_dir(spark).rstrip("/")
-        target = f"{base}/revlens-tables/saas_sales_csv-{uuid.uuid4().hex}"
-        write_csv(sales_table(spark, sf_dir), target, mode="errorifexists")
-        with _LOCK:
-            path = _TABLES.setdefault(key, target)
+        if path is None:
+            base = checkpoint_dir(spark).rstrip("/")
+            path = f"{base}/revlens-tables/saas_sales_csv-{uuid.uuid4().hex}"
+            write_csv(raw, path, mode="errorifexists")
+            _TABLES[key] = path
     return path
 
 
+def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table as loaded from the CSV export: all columns parsed and checked, then read back."""
+    from revlens.sources.csv import load_table
+
+    source = sales_csv(spark, sf_dir)
+    key = ("csv-table", *_key(spark, sf_dir))
+    with _LOCK:
+        df = _TABLES.get(key)
+        if df is None:
+            base = checkpoint_dir(spark).rstrip("/")
+            df = _TABLES[key] = load_table(spark, source, f"{base}/revlens-tables/saas_sales_load-{uuid.uuid4().hex}")
+    return df
+
+
 def sales_frame(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
     """Raw fact either materialised (default) or as the lazy star join."""
     if materialized:

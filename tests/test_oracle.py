@@ -5,6 +5,7 @@ import pytest
 from tests.oracle_harness import compare, duck
 
 import __spark_entry__ as entry
+from revlens.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +20,10 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.queries()))
 def test_query_matches_oracle(spark, sf_small, con, key):
     r = compare(spark, sf_small, key, entry.queries()[key], entry.oracle_sql()[key], con)
     assert r["status"] == "ok", r
