@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens import operators as ops
-from revlens.sources import load_csv, save_raw, sales_table, varchar_violations, write_csv
+from revlens.sources import load_csv, load_table, save_raw, sales_table, varchar_violations, write_csv
 
 
 def _tmp():
@@ -66,3 +66,54 @@ def test_varchar_limits(spark, sf_small):
     assert varchar_violations(raw).count() == 0
     long_row = raw.limit(1).withColumn("region", F.lit("x" * 51))
     assert varchar_violations(long_row).count() == 1
+
+
+HEADER = (
+    "row_id,order_id,order_date,date_key,contact_name,country,city,region,subregion,customer,customer_id,"
+    "industry,segment,product,license,sales,quantity,discount,profit"
+)
+
+
+def _written(rows):
+    d = _tmp()
+    with open(os.path.join(d, "part.csv"), "w") as f:
+        f.write("\n".join([HEADER, *rows]) + "\n")
+    return d
+
+
+def _row(i, customer="acme", contact="Ann", profit="10.5"):
+    return f"{i},O{i},2023-01-05,20230105,{contact},Peru,Lima,AMER,South,{customer},c1,Tech,SMB,alpha,L1,957.57,2,0.1,{profit}"
+
+
+def test_copy_dialect_of_hand_written_file(spark):
+    given = ['"say ""hi"" x"', '"Acme ""X"", Inc"', '"back\\"', "plain\\", '"a,b"', '""', ""]
+    want = ['say "hi" x', 'Acme "X", Inc', "back\\", "plain\\", "a,b", "", None]
+    table = load_table(spark, _written([_row(i, c) for i, c in enumerate(given)]), os.path.join(_tmp(), "t"))
+    assert [r.customer for r in table.orderBy("row_id").collect()] == want
+    path = _written([_row(0, '""'), _row(1, "")])
+    both_null = load_table(spark, path, os.path.join(_tmp(), "t"), quoted_empty_as_null=True)
+    assert [r.customer for r in both_null.collect()] == [None, None]
+
+
+def test_written_csv_is_read_back_with_quotes_and_empty_text(spark, sf_small):
+    path = _written([_row(0, '"a ""q"" \\ b"'), _row(1, '""'), _row(2, "")])
+    raw = load_csv(spark, path)
+    out = os.path.join(_tmp(), "again")
+    write_csv(raw, out)
+    assert sorted(map(str, load_csv(spark, out).collect())) == sorted(map(str, raw.collect()))
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [_row(1, profit="abc"), "1,O1,2023-01-05", _row(1, contact="x" * 101), _row(1).replace("2023-01-05", "2023-13-05")],
+)
+def test_load_is_all_or_nothing_whatever_column_is_bad(spark, bad):
+    target = os.path.join(_tmp(), "t")
+    with pytest.raises(Exception):
+        load_table(spark, _written([_row(0), bad]), target)
+    assert not os.path.exists(os.path.join(target, "_SUCCESS"))
+
+
+def test_varchar_cuts_only_blanks(spark):
+    table = load_table(spark, _written([_row(0, contact='"' + "x" * 100 + '   "')]), os.path.join(_tmp(), "t"))
+    assert table.first().contact_name == "x" * 100

@@ -38,12 +38,17 @@ def test_column_pruning_on_clean_table(spark, sf_small):
     assert "ReadSchema: struct<order_month:date,customer_id:string,sales:decimal(12,2)>" in plan
 
 
-def test_star_join_broadcasts_only_checked_dimensions(spark, sf_small):
+def test_star_join_leaves_broadcasts_to_the_byte_threshold(spark, sf_small):
     from revlens.sources.star import star_sales
 
-    plan = star_sales(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
-    # region and nation are hinted after the size check; the facts are not.
-    assert plan.count("broadcast") >= 2
+    plan = star_sales(spark, sf_small)._jdf.queryExecution()
+    assert "broadcast" not in plan.optimizedPlan().toString()  # no hint on any side
+    assert plan.sparkPlan().toString().count("BroadcastHashJoin") >= 2  # nation and region by their size
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in star_sales(spark, sf_small)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def _subtrees(plan_text, marker):
