@@ -14,7 +14,7 @@ from 2^24 words on count as one place).
 Defined cases: null text counts as empty; a text of fewer than K words has one k-mer; a
 text without words has an empty fingerprint, and two empty fingerprints are alike (1.0);
 documents follow each other by ``doc_id`` descending, null last, equal ids by the text's
-hash and then in the order they were read; a single document is its own next; an empty
+hash, rows equal in both one after another; a single document is its own next; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -93,32 +93,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(alike / filled)
 
 
-def successors(rows: DataFrame) -> DataFrame:
-    """(row, half, to, give): for each of ``rows`` (row, doc_id, tie, n; written) half its length,
-    and the row it follows with half of that one's length.
+def successors(classes: DataFrame) -> DataFrame:
+    """For each of ``classes`` (k, tie, n, c; one row per distinct document): half its length, the
+    class it follows (to_k, to_tie) and half of that one's length (give).
 
     The order is cut into blocks of bounded size; a block's first row follows the last of the
     block before, the very first row the very last. Only one row per block is compared globally.
     """
-    order = (F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("row"))
-    b = range_blocks(rows, "omh-order", *order).withColumn("half", F.floor(F.col("n") / 2))
+    order = (F.col("k").desc(), F.col("tie"))
+    b = range_blocks(classes, "omh-order", *order).withColumn("half", F.floor(F.col("n") / 2))
     inside = Window.partitionBy("block").orderBy(*order)
-    b = b.select(
-        "block",
-        "row",
-        "half",
-        F.lag("row").over(inside).alias("to"),
-        F.lag("half").over(inside).alias("give"),
-        F.row_number().over(inside).alias("at"),
-    )
-    b = cut(b, "omh-lags")
-    last = b.groupBy("block").agg(F.max_by(F.struct("row", "half"), "at").alias("last"))
+    one = F.struct("k", "tie", "half")
+    b = cut(b.select("block", "k", "tie", "c", "half", F.lag(one).over(inside).alias("before"), F.row_number().over(inside).alias("at")), "omh-lags")
+    last = b.groupBy("block").agg(F.max_by(one, "at").alias("last"))
     ring = Window.orderBy("block")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = last.select("block", F.coalesce(F.lag("last").over(ring), F.last("last").over(whole)).alias("before"))
-    joined = b.join(last, "block")
-    return joined.select(
-        "row", "half", F.coalesce("to", "before.row").alias("to"), F.coalesce("give", "before.half").alias("give")
+    last = last.select("block", F.coalesce(F.lag("last").over(ring), F.last("last").over(whole)).alias("wrap"))
+    to = F.coalesce("before", "wrap")
+    return b.join(last, "block").select(
+        "k", "tie", "c", "half", to["k"].alias("to_k"), to["tie"].alias("to_tie"), to["half"].alias("give")
     )
 
 
@@ -129,25 +122,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def edited(docs: DataFrame) -> DataFrame:
     """The contract's rows: each document against its edited text and the next document."""
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    plain = with_fingerprint(plain, "text", "fingerprint")
-    t = cut(
-        plain.select(
-            F.monotonically_increasing_id().alias("row"),
-            "*",
-            F.length("text").cast("long").alias("n_chars"),
-            F.xxhash64("text").alias("tie"),
-        ),
-        "omh-texts",
+    # A document's key is its id and its text's hash: rows alike in both are one class of c rows.
+    text = F.coalesce("text", F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # null sorts last
+    plain = docs.select("doc_id", text.alias("text"), key.alias("k"), F.xxhash64(text).alias("tie"))
+    sizes = plain.select("k", "tie", F.length("text").cast("long").alias("n"))
+    order = cut(successors(sizes.groupBy("k", "tie").agg(F.max("n").alias("n"), F.count("*").alias("c"))), "omh-next")
+    # Texts are dealt by key once; both uses of ``placed`` read that one exchange.
+    placed = plain.join(order, ["k", "tie"])
+    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("k", "tie").orderBy("k")))
+    placed = with_fingerprint(placed, "text", "fingerprint")
+    gives = placed.where("nth = 1").select(
+        F.col("to_k").alias("k"),
+        F.col("to_tie").alias("tie"),
+        F.left("text", F.col("give").cast("int")).alias("given"),
+        F.col("fingerprint").alias("given_fingerprint"),
     )
-    order = cut(successors(t.select("row", "doc_id", "tie", F.col("n_chars").alias("n"))), "omh-next")
-    placed = t.drop("tie").join(order, "row")
-    gives = placed.select(
-        F.col("to").alias("row"),
-        F.left("text", F.col("give").cast("int")).alias("prefix"),
-        F.col("fingerprint").alias("next_fingerprint"),
+    own = placed.select("doc_id", "text", "fingerprint", "k", "tie", "half", "nth", "c").join(gives, ["k", "tie"])
+    alike = F.col("nth") < F.col("c")  # followed by the next row of its own class
+    own = own.select(
+        "doc_id",
+        "text",
+        "fingerprint",
+        F.length("text").cast("long").alias("n_chars"),
+        "half",
+        F.when(alike, F.left("text", F.col("half").cast("int"))).otherwise(F.col("given")).alias("prefix"),
+        F.when(alike, F.col("fingerprint")).otherwise(F.col("given_fingerprint")).alias("next_fingerprint"),
     )
-    own = placed.select("row", "doc_id", "text", "fingerprint", "n_chars", "half").join(gives, "row")
     new = F.concat(F.left("text", (F.col("n_chars") - F.col("half")).cast("int")), "prefix")
     own = own.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", new.alias("edited"))
     out = with_fingerprint(own, "edited", "edited_fingerprint")
