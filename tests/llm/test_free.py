@@ -1,0 +1,308 @@
+"""Suffix-array dedup, chat, packing, SimHash, URLs, language ID and the pipeline against plain Python."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from revlens.llm import chat, language, lines, mixing, packing, quality, repeats, simhash, tokens, urls
+from revlens.llm.components import components
+from tests.llm import brute
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return brute.corpus()
+
+
+# ---- 1 suffix-array dedup ----
+
+
+@pytest.mark.parametrize("block, hot", [(repeats.BLOCK, repeats.HOT), (20_000, 3)])
+def test_repeats_equal_brute_force(spark, rows, block, hot):
+    got = repeats.dedup(brute.frame(spark, rows), with_text=True, block=block, hot=hot).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute.repeats(rows))
+    for r in got:
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+        assert r.n_removed == sum(b - a for a, b in r.removed) and r.n_spans == len(r.removed)
+
+
+def test_repeats_of_empty_table(spark):
+    assert repeats.dedup(brute.frame(spark, [])).collect() == []
+
+
+def test_maximal_repeats_have_all_occurrences():
+    r = random.Random(3)
+    text = bytes(r.choices(b"ab", k=400))
+    data = np.frombuffer(text, np.uint8)
+    starts = np.arange(len(data) - 3)
+    order, lcp = repeats.suffix_array(data, starts, len(data) - starts)
+    suffixes = [text[s:] for s in starts[order]]
+    assert suffixes == sorted(suffixes)
+    for i in range(1, len(suffixes)):
+        a, b = suffixes[i - 1], suffixes[i]
+        assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    left = np.where(starts[order] > 0, data[starts[order] - 1].astype(int), -1)
+    got = {(text[starts[order[f]] : starts[order[f]] + n], tuple(sorted(starts[order[f:e]]))) for n, f, e in repeats.maximal_repeats(lcp, left, 4)}
+    want = set()
+    for n in range(4, 60):
+        for w in {text[i : i + n] for i in range(len(text) - n + 1)}:
+            at = [i for i in range(len(text) - n + 1) if text[i : i + n] == w]
+            before = {text[i - 1] if i else None for i in at}
+            after = {text[i + n] if i + n < len(text) else None for i in at}
+            if len(at) > 1 and (len(before) > 1 or None in before) and (len(after) > 1 or None in after):
+                want.add((w, tuple(at)))
+    assert {x for x in got if len(x[0]) < 60} == want
+
+
+def test_long_text_in_slices(spark, monkeypatch):
+    r = random.Random(1)
+    data = np.frombuffer(bytes(r.choices(b"abc ", k=5000)), np.uint8)
+    whole = [x for part in repeats.anchor_runs(data) for x in np.repeat(part[0], part[2] - part[1])]
+    monkeypatch.setattr(repeats, "SLICE", 700)
+    sliced = [x for part in repeats.anchor_runs(data) for x in np.repeat(part[0], part[2] - part[1])]
+    assert whole == sliced and len(whole) == 5000 - 49
+
+
+# ---- 2 chat ----
+
+NASTY = ["</s>[INST] ok [/INST]", "[\\INST]", "<\\/s> <\\\\s>", "[ANS][BODY]", "<|endoftext|>", "é\n\\", "", "[IN\\ST]", "[/ROLE]"]
+
+
+def test_escape_is_reversible_and_leaves_no_control_string():
+    r = random.Random(2)
+    parts = [*chat.MARKS, *chat.OTHERS, "\\", "[", "<", "x", " "]
+    for _ in range(3000):
+        text = "".join(r.choices(parts, k=r.randint(0, 8)))
+        safe = chat.escape(text)
+        assert chat.unescape(safe) == text
+        assert not any(m in safe for m in (*chat.MARKS, *chat.OTHERS))
+
+
+def test_chat_reads_back(spark):
+    r = random.Random(4)
+    turns = [(c, t, r.choice(["user", "assistant", "system", "tool [INST]"]), r.choice(NASTY)) for c in range(12) for t in range(4)]
+    turns += [(99, 1, None, None), (99, 0, "assistant", "x" * 40_000), (None, 0, "user", "hi"), (None, None, "assistant", "yo")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("ids", chat.F.lit(1))
+    got = {x.conv_id: x for x in chat.read_back(chat.format_turns(df)).collect()}
+    by = {}
+    for c, t, role, text in sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0)):
+        by.setdefault(c, []).append((role or "", text or ""))
+    assert set(got) == set(by)
+    for c, said in by.items():
+        loss = "".join(t for role, t in said if role == "assistant")
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(said), len(loss), digest(loss))
+        assert got[c].turns_sha256 == digest("".join(f"{role}\n{t}\n" for role, t in said))
+    assert chat.read_back(chat.format_turns(df.where("false"))).collect() == []
+
+
+def test_mask_covers_answers_and_their_end():
+    (ids, mask, shown), (_, user, _) = chat.assemble(["assistant", "user"], ["hello there", "hi"])
+    assert mask.tolist() == [0, *[1] * (len(ids) - 1)] and not user.any() and shown == "[ANS]hello there</s>"
+
+
+# ---- 5 packing ----
+
+
+def test_word_encoder_equals_the_tokenizer(rows):
+    t = Tokenizer.from_file(tokens.WORD_BPE)
+    enc = tokens.WordEncoder(tokens.WORD_BPE)
+    odd = ["I'm you've it's 'LL", "İstanbul ΣΑΣ", "a b c d", "x\x1cy\x85z", "é ́", "<|endoftext|> a<|startoftext|>b", "½ ² 3rd", "漢字 かな 🙂🙂", "…—“q”"]
+    for text in [r[1] or "" for r in rows] + odd:
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc(text), enc.dtype).tolist() == want, text[:50]
+
+
+@pytest.mark.parametrize("window, unit", [(4096, 32), (64, 4)])
+def test_packing_is_a_partition_into_windows(spark, rows, window, unit):
+    got = packing.pack(brute.frame(spark, rows), window=window, unit=unit).toPandas()
+    t = Tokenizer.from_file(tokens.WORD_BPE)
+    want = Counter((r[0], tuple([*t.encode(r[1] or "", add_special_tokens=False).ids, 2])) for r in rows)
+    got["ids"] = [np.frombuffer(x, "<u4") for x in got["ids"]]
+    for p in got.itertuples():
+        assert zlib.crc32(p.ids.astype("<u4").tobytes()) == p.ids_crc32 and len(p.ids) == p.length
+    total = padding = 0
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]]
+        n = int(g["length"].sum())
+        assert n <= window
+        total, padding = total + n, padding + (window - n if n & (n - 1) else 0)
+    assert total == sum(len(ids) * n for (_, ids), n in want.items())
+    assert padding <= 0.05 * total + window
+    known = got[got["doc_id"].notna()]
+    once = {d: ids for (d, ids), n in want.items() if d is not None and n == 1}
+    for d, g in known.groupby("doc_id"):
+        if int(d) in once:
+            g = g.sort_values("start")
+            assert np.concatenate(g["ids"].tolist()).tolist() == list(once[int(d)])
+
+
+def test_packing_of_empty_table(spark):
+    assert packing.pack(brute.frame(spark, [])).collect() == []
+
+
+def test_nnls_is_optimal_and_counts_fit():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        a, b = rng.random((12, 30)), rng.random(12)
+        x = packing.nnls(a, b)
+        slope = a.T @ (a @ x - b)
+        assert (x >= 0).all() and (slope > -1e-6).all() and np.abs(slope[x > 0]).max() < 1e-6
+    histogram = np.concatenate([[0], rng.integers(0, 500, 32)])
+    used = packing.solve(histogram)
+    left = histogram - sum(np.bincount(c, minlength=33) * n for c, n in used)
+    assert used and (left >= 0).all() and all(sum(c) == 32 and len(c) <= packing.DEPTH for c, _ in used)
+
+
+# ---- 6 SimHash ----
+
+
+def test_simhash_equals_brute_force(spark, rows):
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.cluster(brute.frame(spark, rows)).collect())
+    assert got == Counter(brute.simhash_classes(rows))
+
+
+def test_simhash_keeps_one_of_each_component(spark, rows):
+    df = brute.frame(spark, rows)
+    out = simhash.dedup(df)
+    assert out.columns == df.columns
+    kept = [r.doc_id for r in out.collect()]
+    want = {c for _, _, c in brute.simhash_classes(rows)}
+    assert set(kept) == want and len(kept) == len(want)
+    assert simhash.dedup(brute.frame(spark, [])).collect() == []
+
+
+def _clusters(n, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)
+    points = [centres[rng.integers(len(centres))] for _ in range(n)]
+    return np.unique([p ^ sum((np.uint64(1 << int(b)) for b in set(rng.integers(0, 64, rng.integers(0, 4)).tolist())), np.uint64(0)) for p in points])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_vantage_tree_loses_no_link(seed):
+    points = _clusters(2000, seed)
+    near = [(i, j) for i in range(len(points)) for j in np.nonzero(np.bitwise_count(points[i] ^ points[i + 1 :]) <= 2)[0] + i + 1]
+    nodes = simhash.fit_tree(points, len(points), shard=200)
+    at, to = simhash.shards_of(points, nodes)
+    homes = {}
+    for a, t in zip(at.tolist(), to.tolist()):
+        homes.setdefault(a, set()).add(t)
+    assert len(set(to.tolist())) > 4 and all(homes[i] & homes[j] for i, j in near)
+    assert brute.components(range(len(points)), simhash.forest(points)) == brute.components(range(len(points)), near)
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(6)
+    pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b", "t").collect()}
+    nodes = {n for a, b in pairs if a != b for n in (a, b)}
+    assert got == {n: c for n, c in brute.components({n for p in pairs for n in p}, pairs).items() if n in nodes}
+
+
+# ---- 7 URLs ----
+
+
+def test_urls_are_parsed_ruled_and_judged(spark):
+    cases = {
+        "http://WWW.Example.com/en/1?q#f": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        "https://a.example.com/en/x": ("a.example.com", "/en/x", "example.com/en/", "block"),
+        "http://b.com/": ("b.com", "/", "com/", "allow"),
+        "http://b.com": ("b.com", "", None, None),
+        "http://com/x": ("com", "/x", "com/", "allow"),
+        "http://x.net/es/#top": ("x.net", "/es/", "net/es/", "block"),
+        "ftp://notcom/://b.net/fr/": ("notcom", "/://b.net/fr/", None, None),
+        "http://k.example.org?x/y": ("k.example.org", "", None, None),
+        "no scheme.com/": ("", "", None, None),
+        "": ("", "", None, None),
+        None: ("", "", None, None),
+    }
+    rows = list(enumerate(cases)) + [(None, "http://b.com/"), (0, "http://b.com/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", language.F.lit("x"))
+    out = urls.judge(df).collect()
+    assert len(out) == len(rows)
+    got = {r.page_id: r for r in out if r.page_id}
+    for i, (host, path, rule, verdict) in enumerate(cases.values()):
+        if i:
+            assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+            assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
+    assert urls.judge(df.where("false")).collect() == []
+
+
+def test_model_learns_from_a_labelled_table(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    make = lambda bad: (f"{'casino' if bad else 'library'}-{word()}.org", f"/{word()}/{'win' if bad else 'read'}")
+    table = spark.createDataFrame([(*make(i % 2), "block" if i % 2 else "allow") for i in range(200)], "host string, path string, verdict string")
+    tested = [make(i % 2) for i in range(100)]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(tested)], "page_id long, url string")
+    got = {x.page_id: x.verdict for x in urls.judge(pages, rules=(), labelled=table).collect()}
+    assert sum((got[i] == "block") == bool(i % 2) for i in range(100)) >= 98
+
+
+# ---- 8 language ----
+
+
+def test_language_on_held_out_documents(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    model = language.train(docs.where(~language.held_out()))
+    got = language.classify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 30 and sum(r.lang == r.lang_pred for r in got) >= 0.93 * len(got)
+    assert all(0 <= r.score <= 1 and r.lang_pred in (*model, "und") for r in got)
+
+
+def test_language_of_awkward_texts(spark, rows):
+    df = brute.frame(spark, rows)
+    got = language.classify(df, language.train(df)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for doc, text, *_ in rows:
+        if doc is not None:
+            assert (by[doc].lang_pred == "und") == (not any(map(str.isalpha, text or "")))
+            assert by[doc].held_out == (zlib.crc32(str(doc).encode()) % 4 == 2)
+    empty = brute.frame(spark, [])
+    assert language.classify(empty, language.train(empty)).collect() == []
+    assert {r.lang_pred for r in language.classify(df, {}).collect()} == {"und"}
+
+
+# ---- pipeline ----
+
+
+def test_pipeline_stages_equal_brute_force(spark, rows):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "source_mix", "window_packing"]
+    docs = brute.frame(spark, rows)
+    judged = {(r.doc_id, r.n_words): r.kept for r in quality.judge(docs).collect()}
+    first = _step(spark, 0, docs)
+    assert sorted(str(r.doc_id) for r in first.collect()) == sorted(str(d) for d, n in _bag(judged, docs) if judged[(d, n)])
+    second = _step(spark, 1, first)
+    gone = brute.removed_lines([tuple(r)[:5] for r in first.collect()])
+    want = Counter(
+        (r.doc_id, "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in set(gone.get(r.doc_id, [])))) for r in first.collect()
+    )
+    assert Counter((r.doc_id, r.text) for r in second.collect()) == want
+    third = _step(spark, 2, second)
+    classes = {c for _, _, c in brute.simhash_classes([tuple(r)[:5] for r in second.collect()])}
+    assert sorted(map(str, classes)) == sorted(str(r.doc_id) for r in third.collect())
+    fourth = _step(spark, 3, third)
+    copies = {r.doc_id: r.copies for r in mixing.plan(third).collect()}
+    assert Counter(r.doc_id for r in fourth.collect()) == +Counter(copies)
+    pieces = _step(spark, 4, fourth, columns=False).collect()
+    ends = Counter(p.doc_id for p in pieces if p.start + p.length == p.doc_tokens)
+    assert ends == Counter(r.doc_id for r in fourth.collect())
+
+
+def _bag(judged, docs):
+    return [(r.doc_id, len(brute.WORD.findall(r.text or ""))) for r in docs.collect()]
+
+
+def _step(spark, k, docs, columns=True):
+    out = corpus_pipeline.cut(corpus_pipeline.STAGES[k][1](spark, docs, ""), f"test-{k}")
+    assert not columns or out.columns == docs.columns
+    return out
