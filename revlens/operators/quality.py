@@ -80,8 +80,18 @@ def _date_coverage_cols() -> list[Column]:
 
 
 def date_coverage(raw: DataFrame) -> DataFrame:
-    """Date range plus number of distinct calendar months and years."""
-    return raw.agg(*_date_coverage_cols())
+    """Date range plus number of distinct calendar months and years.
+
+    Rows are first reduced to one per month (map-side), then months and years are counted.
+    """
+    month = month_start("order_date").alias("_month")
+    per = raw.groupBy(month).agg(F.min("order_date").alias("_lo"), F.max("order_date").alias("_hi"))
+    return per.agg(
+        F.min("_lo").alias("earliest_date"),
+        F.max("_hi").alias("latest_date"),
+        F.count("_month").alias("months_covered"),
+        F.countDistinct(year_start("_month")).alias("years_covered"),
+    )
 
 
 def suspicious_dates(raw: DataFrame, lo: str | _dt.date = "2000-01-01", as_of: str | _dt.date | None = None) -> DataFrame:
