@@ -27,21 +27,27 @@ _LOCK = threading.Lock()
 _TABLES: dict[tuple, DataFrame | str] = {}  # resolved once: file listing and footers are read once
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    parts = []
-    for t in STAR_TABLES:
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            parts.append((t, st.st_size, st.st_mtime_ns))
-        except OSError:  # remote file systems: key on the path alone
-            parts.append((t,))
-    return tuple(parts)
+def _listing(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of every file under ``path``, on whatever file system it is."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no listing, the path alone is the key
+        return (path,)
+    root = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return ()
+    files, found = fs.listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Rewritten input gives another key, so no stale table is read."""
     where = sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)
-    return (session_key(spark), where, _fingerprint(sf_dir))
+    return (session_key(spark), where, *[_listing(spark, f"{where.rstrip('/')}/{t}.parquet") for t in STAR_TABLES])
 
 
 def materialize(df: DataFrame, name: str) -> str:
