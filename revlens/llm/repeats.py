@@ -17,7 +17,7 @@ a smaller ``doc_id``. No suffix array of the whole corpus is needed for that:
    and its smallest doc_id. Occurrences in other documents return to their block as spans.
 4. Blocks apply the spans of smaller documents, join runs and hash what is left.
 
-Bounds: blocks hold about ``BLOCK`` bytes of text and shards what half as much text gives,
+Bounds: blocks hold about ``BLOCK`` bytes of text and shards what as much text gives,
 whatever the corpus: their numbers grow with it. A passage that a third of all documents
 share counts once per block. Anchors that ``HOT`` blocks or more share (a common phrase
 with ever different text around it) have their windows sent one by one to shards of the
@@ -45,7 +45,7 @@ from revlens.llm.common import cut, documents
 
 LEAST = 50
 ANCHOR = 24
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 HOT = 64
 SLICE = 1 << 20
 #: Parts that a shard's segments are worked off in, one after another.
@@ -337,14 +337,18 @@ def _part_spans(text, sizes, lo, hi) -> np.ndarray:
     seg = np.repeat(np.arange(len(sizes)), windows)
     offset = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
     starts = begin[seg] + offset
-    # windows whose hash is alone here repeat nothing and need no sorting
+    # Only windows that repeat, and that follow different bytes (or none) somewhere, can begin a
+    # left-diverse interval. Their hashes tell; hashes equal by chance only keep more windows.
     h = window_hashes(text, LEAST)[starts]
     by = np.argsort(h, kind="stable")
-    same = h[by][1:] == h[by][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[by[1:][same]] = True
-    twice[by[:-1][same]] = True
-    seg, offset, starts = seg[twice], offset[twice], starts[twice]
+    left = np.where(offset > 0, text[np.maximum(starts - 1, 0)].astype(np.int64), -1)[by]
+    new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
+    group = np.cumsum(new) - 1
+    change = ~new & ((left != np.roll(left, 1)) | (left < 0))
+    diverse = np.zeros(group[-1] + 1, bool)
+    diverse[group[change]] = True
+    stay = np.sort(by[diverse[group]])
+    seg, offset, starts = seg[stay], offset[stay], starts[stay]
     if not len(seg):
         return none
     order, lcp = suffix_array(text, starts, sizes[seg] - offset)
@@ -413,7 +417,7 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
     )
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
-    shards = max(8, -(-total // (block // 2)))
+    shards = max(8, -(-total // block))
     table = f"llm_texts_{uuid.uuid4().hex}"
     dealt = plain.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks)).cast("long"))
     dealt.repartition(blocks, "block").write.format("parquet").option("compression", "zstd").bucketBy(
