@@ -14,7 +14,7 @@ from 2^24 words on count as one place).
 Defined cases: null text counts as empty; a text of fewer than K words has one k-mer; a
 text without words has an empty fingerprint, and two empty fingerprints are alike (1.0);
 documents follow each other by ``doc_id`` descending, null last, equal ids by the text's
-hash, rows equal in both one after another; a single document is its own next; an empty
+hash, rows equal in both one after another; the smallest long stands for null; a single document is its own next; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -124,11 +124,13 @@ def edited(docs: DataFrame) -> DataFrame:
     """The contract's rows: each document against its edited text and the next document."""
     # A document's key is its id and its text's hash: rows alike in both are one class of c rows.
     text = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # null sorts last
-    plain = docs.select("doc_id", text.alias("text"), key.alias("k"), F.xxhash64(text).alias("tie"))
+    none = F.lit(-(1 << 63))  # stands for a null doc_id, sorts last
+    key = F.coalesce(F.col("doc_id").cast("long"), none)
+    plain = docs.select(text.alias("text"), key.alias("k"), F.xxhash64(text).alias("tie"))
     sizes = plain.select("k", "tie", F.length("text").cast("long").alias("n"))
     order = cut(successors(sizes.groupBy("k", "tie").agg(F.max("n").alias("n"), F.count("*").alias("c"))), "omh-next")
-    # Texts are dealt by key once; both uses of ``placed`` read that one exchange.
+    # Texts are dealt by key once: both uses of ``placed`` need the same three columns of
+    # ``plain``, so that they read one exchange.
     placed = plain.join(order, ["k", "tie"])
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("k", "tie").orderBy("k")))
     placed = with_fingerprint(placed, "text", "fingerprint")
@@ -138,10 +140,10 @@ def edited(docs: DataFrame) -> DataFrame:
         F.left("text", F.col("give").cast("int")).alias("given"),
         F.col("fingerprint").alias("given_fingerprint"),
     )
-    own = placed.select("doc_id", "text", "fingerprint", "k", "tie", "half", "nth", "c").join(gives, ["k", "tie"])
+    own = placed.select("text", "fingerprint", "k", "tie", "half", "nth", "c").join(gives, ["k", "tie"])
     alike = F.col("nth") < F.col("c")  # followed by the next row of its own class
     own = own.select(
-        "doc_id",
+        F.when(F.col("k") != none, F.col("k")).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "text",
         "fingerprint",
         F.length("text").cast("long").alias("n_chars"),
