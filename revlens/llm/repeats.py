@@ -48,6 +48,8 @@ ANCHOR = 24
 BLOCK = 4 << 20
 HOT = 64
 SLICE = 1 << 20
+#: Windows of a segment, at most.
+RUN = 64
 #: Parts that a shard's segments are worked off in, one after another.
 PARTS = 16
 
@@ -170,8 +172,11 @@ def _segments(part: pd.DataFrame, back: pd.DataFrame, shards: int):
         for anchors, first, end in anchor_runs(data):
             keys = _key(anchors, shards)
             for r in np.flatnonzero(known(keys, value)).tolist():
-                at, key = int(first[r]), int(keys[r])
-                found.setdefault((key >> 32, key % PARTS, raw[at : int(end[r]) + LEAST - 1]), []).append((i, at))
+                key, last = int(keys[r]), int(end[r])
+                # A periodic text is one long run; whole, its repeats would nest as deep as it is long.
+                for at in range(int(first[r]), last, RUN):
+                    piece = raw[at : min(at + RUN, last) + LEAST - 1]
+                    found.setdefault((key >> 32, key % PARTS, piece), []).append((i, at))
             runs = np.flatnonzero(known(keys, hot))
             if len(runs):
                 for r in runs.tolist():
