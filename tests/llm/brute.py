@@ -116,6 +116,11 @@ def line_shingles(line, chars=8):
     return frozenset(re.findall(rf"(?s)[{BLANK}](?=([^{BLANK}].{{{chars - 1}}}))", ring))
 
 
+def all_shingles(line, chars=8):
+    line = line.lower().ljust(chars)
+    return frozenset(line[i : i + chars] for i in range(len(line) - chars + 1))
+
+
 def removed_lines(rows, similar=0.8):
     """{doc_id: sorted line numbers that an earlier similar line stands for}; doc_id None last."""
     places = {}

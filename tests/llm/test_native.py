@@ -101,6 +101,25 @@ def test_lines_equal_brute_force(spark, rows):
     assert left == expect
 
 
+def test_lines_are_judged_by_every_position(spark, rows, monkeypatch):
+    monkeypatch.setattr(brute, "line_shingles", brute.all_shingles)
+    want = brute.removed_lines(rows)
+    assert all(r.removed == want.get(r.doc_id, []) for r in lines.marked(brute.frame(spark, rows)).collect())
+    unlike = [
+        "https://example.com/products/red-shoes",
+        "https://other.org/contact",
+        "2024-05-01T10:00:00,4711,open,north",
+        "2024-05-01T17:31:26,8,paid,south-east",
+        "这是一个关于天气的句子今天下雨了我们在家里读书",
+        "这是一个关于天气报告里没有的山和海边的故事",
+    ]
+    alike = ["=" * 12, "=" * 40]  # equal sets
+    lone = [(i, x, None, None, None) for i, x in enumerate(unlike + alike)]
+    got = {r.doc_id: r.n_removed for r in lines.marked(brute.frame(spark, lone)).collect()}
+    assert [got[i] for i in range(len(unlike))] == [0] * len(unlike)
+    assert got[6] == 0 and got[7] == 1
+
+
 def test_lines_of_one_hot_family(spark):
     base = [f"word{i:03d}" for i in range(60)]
     rows = []
