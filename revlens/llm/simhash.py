@@ -18,9 +18,9 @@ map-side aggregate.
 
 Defined cases: null and empty texts (and texts without words) have fingerprint zero and
 link like any other; texts of fewer words than a shingle are one shingle; rows repeated
-exactly or with equal ``doc_id`` share a component when their fingerprints link; null
-``doc_id`` keeps its row, and is a component's id only if no other member has one; an
-empty table gives an empty result; extra columns are ignored by :func:`fingerprints` and
+exactly or with equal ``doc_id`` share a component when their fingerprints link, and only
+then; null ``doc_id`` is a component's id only if no other member has one, and each such
+component keeps a row; an empty table gives an empty result; extra columns are ignored by :func:`fingerprints` and
 carried by :func:`dedup`.
 """
 
@@ -206,7 +206,8 @@ def linked(distinct: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: i
 
 
 def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(__fp, component_id) for a table of (doc_id, __fp): the smallest doc_id reachable by links."""
+    """(__fp, root, component_id) for a table of (doc_id, __fp): the component's root fingerprint
+    and the smallest doc_id reachable by links (null if no member has one)."""
     per = cut(prints.groupBy("__fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     # parent links are kept on the smallest doc_id, so a component's root is a document
     roots = components(linked(per.select("__fp"), bits), "a", "b", "simhash")
@@ -214,7 +215,7 @@ def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
         "__fp", "first", F.coalesce("root", "__fp").alias("root")
     )
     best = tree.groupBy("root").agg(F.min("first").alias("component_id"))
-    return tree.join(best, "root").select("__fp", "component_id")
+    return tree.join(best, "root").select("__fp", "root", "component_id")
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -225,20 +226,21 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The documents with one of each component: its smallest doc_id (of repeated rows with
-    that id, one), all columns kept."""
+    """The documents with one of each component: its smallest doc_id, or null if it has none
+    (of several rows with that id, one), all columns kept."""
     names = docs.columns
     tagged = docs.withColumns({f"__{i}": F.col(f"`{c}`") for i, c in enumerate(names)}).select(
         *[f"__{i}" for i in range(len(names))], F.col("doc_id").alias("__doc"), F.col("text").alias("__text")
     )
     prints = cut(fingerprints(tagged, shingle, "__text", *[f"__{i}" for i in range(len(names))], "__doc"), "simhash-docs")
     best = classes(prints.select(F.col("__doc").alias("doc_id"), "__fp"), bits)
-    best = best.select(F.col("__fp").alias("__key"), "component_id")
+    best = best.select(F.col("__fp").alias("__key"), F.col("root").alias("__root"), "component_id")
     whole = F.struct(*[f"__{i}" for i in range(len(names))])
     first = F.col("__doc").eqNullSafe(F.col("component_id"))
     kept = prints.join(best, F.col("__fp") == F.col("__key")).where(first)
-    # repeated rows of the chosen doc_id, if any: the largest in column order stays
-    rows = kept.groupBy("component_id").agg(F.max(whole).alias("row"))
+    # by root, not by component_id: components without any doc_id, or with unlike texts of one
+    # doc_id, are apart; repeated rows of the chosen doc_id: the largest in column order stays
+    rows = kept.groupBy("__root").agg(F.max(whole).alias("row"))
     return rows.select(*[F.col("row")[f"__{i}"].alias(c) for i, c in enumerate(names)])
 
 

@@ -179,6 +179,14 @@ def test_simhash_keeps_one_of_each_component(spark, rows):
     assert simhash.dedup(brute.frame(spark, [])).collect() == []
 
 
+def test_simhash_keeps_unlike_rows_of_null_or_one_id(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    made = [(None, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "d"), (7, "d"), (None, "e"), (9, "e"), (8, "e")]
+    out = simhash.dedup(brute.frame(spark, [(d, word(k), None, None, None) for d, k in made])).collect()
+    want = [(None, "a"), (None, "b"), (7, "c"), (7, "d"), (8, "e")]
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((d, word(k)) for d, k in want)
+
+
 def _clusters(n, seed):
     rng = np.random.default_rng(seed)
     centres = rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)
