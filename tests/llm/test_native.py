@@ -131,6 +131,23 @@ def test_lines_of_one_hot_family(spark):
     assert sum(r.n_removed for r in got) == 299 and {r.doc_id for r in got if not r.n_removed} == {0}
 
 
+def test_lines_that_resemble_only_one_of_a_family(spark, monkeypatch):
+    base = [f"word{i:03d}" for i in range(60)]
+
+    def changed(words, at, n, name):
+        return [f"{name}{i % 60:03d}" if (i - at) % 60 < n else w for i, w in enumerate(words)]
+
+    family = [changed(base, 2 * i, 2, f"f{i:03d}") for i in range(140)]
+    strangers = [changed(family[i], 2 * i + 20, 4, f"s{i:03d}") for i in range(40)]  # 0.85 like family[i], 0.78 at most like others
+    rows = [(i, " ".join(x) + ".", None, None, None) for i, x in enumerate([base, *family, *strangers])]
+    monkeypatch.setattr(brute, "line_shingles", brute.all_shingles)
+    assert len(brute.removed_lines(rows)) == len(rows) - 1
+    for block in (lines.BLOCK, 16):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        got = lines.marked(brute.frame(spark, rows)).collect()
+        assert {r.doc_id for r in got if not r.n_removed} == {0}
+
+
 def test_fingerprints_equal_brute_force(spark, rows):
     low = -(1 << 63)
     order = sorted(
