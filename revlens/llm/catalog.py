@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import chat, fingerprint, language, lines, mixing, packing, quality, repeats, simhash, urls
+from revlens.llm import chat, fingerprint, infill, language, lines, mixing, packing, quality, repeats, simhash, urls, vectors, whitening
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_lines": lines.op10_lines,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_vectors": vectors.op12_vectors,
+    "op13_infill": infill.op13_infill,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.SQL,
     "op4_quality": quality.SQL,
+    "op13_infill": infill.SQL,
 }

@@ -1,0 +1,101 @@
+"""Fill-in-the-middle against plain Python and DuckDB."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+
+from revlens.llm import infill
+from tests.llm import brute
+
+TOKEN = re.compile(r"[A-Za-z]+|[^A-Za-z]")
+EXTRA = [
+    (200, "ends in <", "en", "s", 9),
+    (201, "P> starts so", "en", "s", 12),
+    (202, "ab<", "en", "s", 3),
+    (203, "S>cd", "en", "s", 4),
+    (204, "a <P> b", "en", "s", 7),
+    (205, "<M>", "en", "s", 3),
+    (206, "<S", "en", "s", 2),
+    (207, "wörd\U0001f600\U0001f600x́y\x00z", "en", "s", 1),
+    (208, "word", "en", "s", 4),
+    (209, "s", "en", "s", 1),
+    (210, "\n\r\n", "en", "s", 3),
+    (211, "<<P<S<M>", "en", "s", 8),
+]
+
+
+def plain(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output) of one document."""
+    text = text or ""
+    tokens = TOKEN.findall(text)
+    n = len(tokens)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    if h[3] % 100 < 20:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    more = [(1000 + i, t, "en", "s", len(t)) for i, (_, t, *_) in enumerate(EXTRA * 12)]
+    return brute.corpus() + EXTRA + more
+
+
+def key(r):
+    return tuple((x is None, x if x is not None else 0) for x in r)
+
+
+@pytest.mark.parametrize("slice_", [infill.SLICE, 50, 2000])
+def test_outputs_equal_plain_python(spark, rows, slice_, monkeypatch):
+    monkeypatch.setattr(infill, "SLICE", slice_)
+    made = infill.restore(infill.transform(brute.frame(spark, rows))).collect()
+    got = [(r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output, r.text) for r in made]
+    want = [(r[0], *plain(r[0], r[1]), r[1] or "") for r in rows]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r[2] for r in got} == {"plain", "psm", "spm"}
+
+
+def test_slices_at_worker_level():
+    """Scatter and gather of many random batches, without Spark."""
+    r = random.Random(3)
+    for trial in range(300):
+        texts = ["".join(r.choices("aZ<>PSM é\U0001f600", k=r.randint(0, 12))) for _ in range(r.randint(1, 9))]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+        draws = np.array([[r.getrandbits(32) for _ in range(4)] for _ in texts])
+        made = infill.scatter(data, offsets, draws)
+        back, at = infill.gather(made["out"], made["offsets"], made["form"])
+        assert [bytes(back[at[i] : at[i + 1]]).decode() for i in range(len(texts))] == texts
+        for i, t in enumerate(texts):
+            assert made["n"][i] == len(TOKEN.findall(t))
+
+
+def test_restore_needs_three_marks():
+    out = np.frombuffer(b"<P>ab<S>c", np.uint8)
+    with pytest.raises(ValueError):
+        infill.gather(out, np.array([0, 9]), np.array([1]))
+
+
+def test_empty_tables_and_empty_texts(spark):
+    assert infill.restore(infill.transform(brute.frame(spark, []))).collect() == []
+    got = infill.restore(infill.transform(brute.frame(spark, [(1, None, None, None, None), (2, "", None, None, 0)]))).collect()
+    assert {(r.n, r.form, r.prefix_chars, r.output, r.text) for r in got} == {(0, "plain", None, "", "")}
+
+
+def test_query_equals_sql_on_awkward_rows(spark, rows, tmp_path):
+    brute.frame(spark, [r for r in rows if "\x00" not in (r[1] or "")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = infill.op13_infill(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({infill.SQL})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert all(r.restored_sha256 for r in got.collect())
