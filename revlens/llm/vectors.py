@@ -72,12 +72,9 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _matrix(lists: pa.Array | pd.Series) -> np.ndarray:
-    return np.stack(lists.to_numpy(zero_copy_only=False) if isinstance(lists, pa.Array) else lists.to_numpy())
-
-
 def keyed(distinct: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame:
-    """``distinct`` (id, copies, vec) with ``keys``: the sign key of each table.
+    """``distinct`` (id, copies, vec) with ``keys``, the sign key of each table, and ``packed``: the
+    keys' bytes and then the vector's, as one binary that costs little on its way to a block.
 
     The hyperplanes of a vector's length are drawn from the seed and the length.
     """
@@ -96,10 +93,11 @@ def keyed(distinct: DataFrame, bits: int, tables: int, seed: int = SEED) -> Data
                 side = _unit(np.stack(vec[of])) @ planes[d] > 0
                 keys[of] = side.reshape(len(of), tables, bits) @ weight
             rows = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows], ["id", "copies", "vec", "keys"])
+            packed = pa.array([k.tobytes() + v.tobytes() for k, v in zip(keys, vec)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows, packed], ["id", "copies", "vec", "keys", "packed"])
 
     vec = distinct.schema["vec"].dataType.simpleString()
-    return distinct.select("id", "copies", "vec").mapInArrow(sign, f"id long, copies long, vec {vec}, keys array<int>")
+    return distinct.select("id", "copies", "vec").mapInArrow(sign, f"id long, copies long, vec {vec}, keys array<int>, packed binary")
 
 
 def _placed(signed: DataFrame, *keep: str) -> DataFrame:
@@ -116,7 +114,8 @@ def cores(signed: DataFrame, cosine: float, block: int) -> DataFrame:
     All members of a core link with one another. Of several cores the one of the smallest
     bucket holds a vector. ``core`` is the bucket as text.
     """
-    hot = _placed(signed).groupBy(*_BUCKET).count().where(F.col("count") > block).select(*_BUCKET)
+    # written, so that Spark knows its size and broadcasts it only if it is small
+    hot = cut(_placed(signed).groupBy(*_BUCKET).count().where(F.col("count") > block).select(*_BUCKET), "vectors-hot")
     members = _placed(signed, "id", "vec").join(hot, _BUCKET)
     unit = F.transform("vec", lambda x: x / F.col("norm"))
     members = members.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
@@ -148,15 +147,15 @@ def _dealt(signed: DataFrame, block: int) -> DataFrame:
     first = F.transform("parts", lambda p, i: F.struct(p["core"].alias("core"), p["blocks"].alias("blocks"), before(F.col("parts"), i).alias("first")))
     parts = whole.where("n > 1").select(*_BUCKET, "all", F.inline(first))
     # a bucket of nothing but one core has no pair left
-    parts = parts.where((F.col("core") == "") | (F.col("all") > F.col("blocks")))
-    rows = _placed(signed, "id", "copies", "vec", "keys", F.coalesce("core", F.lit("")).alias("core"))
+    parts = cut(parts.where((F.col("core") == "") | (F.col("all") > F.col("blocks"))), "vectors-parts")
+    rows = _placed(signed, "id", "copies", "packed", F.coalesce("core", F.lit("")).alias("core"))
     rows = rows.join(parts, [*_BUCKET, "core"])
     own = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("own")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("other")
-    rows = rows.select(*_BUCKET, "core", "first", "blocks", "id", "copies", "vec", "keys", own, "all").select("*", other)
+    rows = rows.select(*_BUCKET, "core", "first", "blocks", "id", "copies", "packed", own, "all").select("*", other)
     same = (F.col("core") != "") & F.col("other").between(F.col("first"), F.col("first") + F.col("blocks") - 1)
     return rows.where(~same).select(
-        *_BUCKET, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "copies", "vec", "keys"
+        *_BUCKET, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "copies", "packed"
     )
 
 
@@ -190,11 +189,13 @@ class _Forest:
             self._flat()
 
 
-def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Sums of linked copies per vector (id, null, n) and a spanning forest (a, b, null) of one pair of blocks."""
+def compare(part: pd.DataFrame, cosine: float, tables: int, dtype: str) -> pd.DataFrame:
+    """Sums of linked copies per vector (id, 0, n) and a spanning forest (a, b, 0) of one pair of blocks."""
     t, lo, hi = int(part["t"].iloc[0]), part["lo"].iloc[0], part["hi"].iloc[0]
     ids, copies, own = (part[c].to_numpy() for c in ("id", "copies", "own"))
-    units, keys = _unit(_matrix(part["vec"])), _matrix(part["keys"])[:, :t]
+    packed = np.frombuffer(b"".join(part["packed"]), np.uint8).reshape(len(ids), -1)
+    keys = np.ascontiguousarray(packed[:, : 4 * tables]).view(np.int32)[:, :t]
+    units = _unit(np.ascontiguousarray(packed[:, 4 * tables :]).view(dtype))
     left = np.flatnonzero(own == lo)
     right = left if lo == hi else np.flatnonzero(own == hi)
     forest, n = _Forest(len(ids)), np.zeros(len(ids), dtype=np.int64)
@@ -216,7 +217,7 @@ def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "a": np.concatenate([ids[some], ids[links[:, 0]]]),
-            "b": pd.array(np.concatenate([np.zeros(len(some), np.int64), ids[links[:, 1]]])).astype("Int64"),
+            "b": np.concatenate([np.zeros(len(some), np.int64), ids[links[:, 1]]]),
             "n": np.concatenate([n[some], np.zeros(len(links), np.int64)]),
         }
     )
@@ -231,8 +232,10 @@ def neighbours(
     core = cut(cores(signed, cosine, block), "vectors-cores")
     signed = signed.join(core, "id", "left")
 
+    dtype = "<f4" if distinct.schema["vec"].dataType.elementType.typeName() == "float" else "<f8"
+
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        return compare(part, cosine)
+        return compare(part, cosine, tables, dtype)
 
     met = cut(_dealt(signed, block).groupBy(*_BUCKET, "lo", "hi").applyInPandas(one, "a long, b long, n long"), "vectors-met")
     counted = met.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("met"))
@@ -251,6 +254,8 @@ def linked(
 ) -> DataFrame:
     """One row per row of ``table``: vec_id, n_links, component_id, kept."""
     rows = table.select(F.col("vec_id"), F.col(f"`{vec}`").alias("vec"))
+    if rows.schema["vec"].dataType.elementType.typeName() not in ("float", "double"):
+        rows = rows.withColumn("vec", F.col("vec").cast("array<double>"))
     good = rows.where(usable(F.col("vec")))
     distinct = good.groupBy("vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "vectors-distinct")

@@ -25,7 +25,7 @@ AWKWARD = [
 def table(spark, rows, clash=True):
     df = spark.createDataFrame(rows, SCHEMA)
     if clash:
-        names = ("id", "x", "vec", "keys", "key", "t", "n", "core", "root", "copies", "own", "deviation", "whitened", "first", "known")
+        names = ("id", "x", "vec", "keys", "packed", "key", "t", "n", "core", "root", "copies", "own", "deviation", "whitened", "first", "known")
         df = df.select("*", *[F.lit(f"extra-{c}").alias(c) for c in names])
     return df.repartition(4)
 
@@ -232,3 +232,11 @@ def test_queries_on_the_given_table(spark):
     assert white.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
     top = white.agg(F.max("identity_error"), F.count("*"), F.max("component")).first()
     assert top[0] < 1e-10 and top[1] == 16 * len(rows) and top[2] == 16
+
+
+def test_double_and_integer_vectors(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0 + 1e-12]), (3, [-1.0, 2.0, 3.0]), (4, [1e200, 2e200, 3e200])]
+    doubles = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in doubles} == {(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)}
+    whole = spark.createDataFrame([(1, [1, 2]), (2, [2, 4]), (3, [2, -1])], "vec_id long, embedding array<int>")
+    assert {(r.vec_id, r.component_id) for r in vectors.linked(whole).collect()} == {(1, 1), (2, 1), (3, 3)}
