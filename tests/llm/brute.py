@@ -111,23 +111,22 @@ def repeats(rows, least=50):
 
 
 def line_shingles(line, chars=8):
-    line = line.lower()
-    ring = f" {line} {line[:chars].ljust(chars)}"
-    return frozenset(re.findall(rf"(?s)[{BLANK}](?=([^{BLANK}].{{{chars - 1}}}))", ring))
-
-
-def all_shingles(line, chars=8):
     line = line.lower().ljust(chars)
     return frozenset(line[i : i + chars] for i in range(len(line) - chars + 1))
 
 
 def removed_lines(rows, similar=0.8):
-    """{doc_id: sorted line numbers that an earlier similar line stands for}; doc_id None last."""
+    """{(doc_id, text): sorted line numbers that an earlier similar line stands for}; doc_id None last.
+
+    Rows equal in doc_id and text are one document. Of equal places in unlike texts of one doc_id,
+    the operator's order by hash decides; here such ties are broken by the text's hash as there.
+    """
     places = {}
     for r in rows:
-        for i, line in enumerate((r[1] or "").split("\n")):
+        text = r[1] or ""
+        for i, line in enumerate(text.split("\n")):
             if WORD.search(line):
-                places.setdefault(line, set()).add((r[0] is None, r[0] or 0, i))
+                places.setdefault(line, set()).add((r[0] is None, r[0] or 0, i, _spark_hash(text), text))
     sets = {line: line_shingles(line) for line in places}
     index = {}
     for line, s in sets.items():
@@ -136,16 +135,16 @@ def removed_lines(rows, similar=0.8):
     pairs = []
     for line, s in sets.items():
         common = Counter(o for x in s for o in index[x])
-        pairs += [(line, o) for o, n in common.items() if o > line and n >= similar * (len(s) + len(sets[o]) - n)]
+        pairs += [(line, o) for o, n in common.items() if o > line and 10 * n >= round(10 * similar) * (len(s) + len(sets[o]) - n)]
     root = components(list(places), pairs)
     groups = {}
     for line, at in places.items():
         groups.setdefault(root[line], set()).update(at)
     gone = {}
     for at in groups.values():
-        for none, doc, i in at - {min(at)}:
-            gone.setdefault(None if none else doc, set()).add(i)
-    return {doc: sorted(at) for doc, at in gone.items()}
+        for none, doc, i, *_, text in at - {min(at)}:
+            gone.setdefault((None if none else doc, text), set()).add(i)
+    return {key: sorted(at) for key, at in gone.items()}
 
 
 def _spark_hash(*values):

@@ -292,7 +292,7 @@ def test_pipeline_stages_equal_brute_force(spark, rows):
     second = _step(spark, 1, first)
     gone = brute.removed_lines([tuple(r)[:5] for r in first.collect()])
     want = Counter(
-        (r.doc_id, "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in set(gone.get(r.doc_id, [])))) for r in first.collect()
+        (r.doc_id, "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in set(gone.get((r.doc_id, r.text), [])))) for r in first.collect()
     )
     assert Counter((r.doc_id, r.text) for r in second.collect()) == want
     third = _step(spark, 2, second)

@@ -1,12 +1,15 @@
 """Mixing, quality rules, order MinHash and line dedup against DuckDB or plain Python."""
 
 import hashlib
+import random
 from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from revlens.llm import fingerprint, lines, mixing, quality
 from tests.llm import brute
 
@@ -87,25 +90,20 @@ def test_lines_equal_brute_force(spark, rows):
     df = brute.frame(spark, rows)
     found = lines.marked(df).collect()
     assert len(found) == len(rows)
-    for r in found:
-        assert r.removed == want.get(r.doc_id, []), r.doc_id
-        assert r.n_removed == len(r.removed)
+    assert Counter((r.doc_id, tuple(r.removed)) for r in found) == Counter((r[0], tuple(want.get((r[0], r[1] or ""), []))) for r in rows)
+    assert all(r.n_removed == len(r.removed) for r in found)
     out = lines.dedup(df)
     assert out.columns == df.columns
     left = Counter((r.doc_id, r.text) for r in out.collect())
     expect = Counter()
     for r in rows:
-        gone = set(want.get(r[0], []))
+        gone = set(want.get((r[0], r[1] or ""), []))
         text = r[1] if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone)
         expect[(r[0], text)] += 1
     assert left == expect
 
 
-def test_lines_are_judged_by_every_position(spark, rows, monkeypatch):
-    monkeypatch.setattr(brute, "line_shingles", brute.all_shingles)
-    want = brute.removed_lines(rows)
-    found = [r for r in lines.marked(brute.frame(spark, rows)).collect() if r.n_lines]  # want is by doc_id only
-    assert all(r.removed == want.get(r.doc_id, []) for r in found)
+def test_lines_are_judged_by_every_position(spark):
     unlike = [
         "https://example.com/products/red-shoes",
         "https://other.org/contact",
@@ -146,7 +144,7 @@ def test_rows_of_null_or_one_id_lose_their_own_lines(spark):
     assert sum(r.n_removed for r in lines.marked(docs).collect()) == 1
 
 
-def test_lines_that_resemble_only_one_of_a_family(spark, monkeypatch):
+def test_lines_that_resemble_only_one_of_a_family(spark):
     base = [f"word{i:03d}" for i in range(60)]
 
     def changed(words, at, n, name):
@@ -155,12 +153,30 @@ def test_lines_that_resemble_only_one_of_a_family(spark, monkeypatch):
     family = [changed(base, 2 * i, 2, f"f{i:03d}") for i in range(140)]
     strangers = [changed(family[i], 2 * i + 20, 4, f"s{i:03d}") for i in range(40)]  # 0.85 like family[i], 0.78 at most like others
     rows = [(i, " ".join(x) + ".", None, None, None) for i, x in enumerate([base, *family, *strangers])]
-    monkeypatch.setattr(brute, "line_shingles", brute.all_shingles)
     assert len(brute.removed_lines(rows)) == len(rows) - 1
-    for block in (lines.BLOCK, 16):
-        monkeypatch.setattr(lines, "BLOCK", block)
-        got = lines.marked(brute.frame(spark, rows)).collect()
-        assert {r.doc_id for r in got if not r.n_removed} == {0}
+    got = lines.marked(brute.frame(spark, rows)).collect()
+    assert {r.doc_id for r in got if not r.n_removed} == {0}
+
+
+def test_prefixes_lose_no_similar_pair_and_spare_the_others(spark):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(400)]
+    base = r.choices(words, k=40)
+    texts = set()
+    for i in range(250):  # one base with more and more of its words changed, and lines that share nothing
+        line = list(base) if i % 5 else r.choices(words, k=r.randint(1, 50))
+        for at in r.sample(range(len(line)), min(len(line), i % 16)):
+            line[at] = r.choice(words) + r.choice(words)
+        texts.add(" ".join(line))
+    texts = sorted(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sets = table.withColumn("n", F.size(F.array_distinct(lines.shingles(F.lower("line")))))
+    prefix = lines._prefixes(sets, table.select("id"), 0.8).select("id", "s")
+    met = {(x.id, x.a) for x in prefix.join(prefix.withColumnRenamed("id", "a"), "s").where("id < a").select("id", "a").distinct().collect()}
+    sets = [brute.line_shingles(t) for t in texts]
+    like = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])}
+    touching = sum(bool(sets[i] & sets[j]) for j in range(len(sets)) for i in range(j))
+    assert len(like) > 100 and like <= met and len(met) < touching / 3
 
 
 def test_fingerprints_equal_brute_force(spark, rows):
