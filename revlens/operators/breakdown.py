@@ -1,12 +1,15 @@
 """Generic grouped revenue report and the exploratory / ARPU queries built on it.
 
-``revenue_breakdown(C, by, measures)`` aggregates once (partial aggregation
-map-side, one shuffle on the group keys) and derives ratios from the
-aggregated columns.  A grand-total share is a scalar subquery over the
-aggregated rows, which are frozen first so the fact is scanned only once (one
-number, no window that pulls every group into one task);
-a share within a sub-key is a window over the aggregated rows partitioned by
-that key.
+``revenue_breakdown(C, by, measures)`` aggregates map-side first, with one shuffle
+on the group keys, and derives ratios from the aggregated columns.  A grand-total share
+divides by a lazy scalar, a second scan of the one column (no window that pulls
+every group into one task); a share within a sub-key is a window over the aggregated rows
+partitioned by that key.
+
+Several exact distinct counts in one aggregate would make Catalyst copy every row once per
+counted column. Each is an aggregate of its own instead, which scans its column and the keys
+only, and the counts are joined to the groups (without keys: read as scalars). A top-k whose
+order needs no distinct count finds its groups first and counts for those only.
 """
 
 from __future__ import annotations
@@ -85,12 +88,18 @@ def revenue_breakdown(
             return F.countDistinct(c) if exact else F.approx_count_distinct(c, rsd)
         return _AGGS[a]()
 
-    needed: dict[str, Column] = {}
-    for _, kind in measures:
-        for a in _MEASURES[kind][0]:
-            needed.setdefault(a, agg(a).alias(a))
+    names = list(dict.fromkeys(a for _, kind in measures for a in _MEASURES[kind][0]))
+    distinct = [a for a in names if a in _DISTINCT]
+    first = _order_without_counts(order, measures) if exact and limit is not None else None
+    apart = distinct if exact and (len(distinct) > 1 or first and distinct) else []
+    needed = {a: agg(a).alias(a) for a in names if a not in apart}
     grouped = C.groupBy(*by).agg(*needed.values()) if by else C.agg(*needed.values())
     keys = [k for k in grouped.columns if k not in needed]
+    if apart and first:
+        grouped = grouped.orderBy(*first).limit(limit)
+    for a in apart:
+        grouped = _with_distinct(grouped, C, by, keys, a, few=limit if first else None)
+    needed = names
 
     if any(kind == "share_pct" for _, kind in measures):
         if share_within:
@@ -115,13 +124,44 @@ def revenue_breakdown(
     return out
 
 
+def _order_without_counts(order: Sequence[str | Column], measures: Sequence[tuple[str, str]]) -> list[Column] | None:
+    """Sort keys over the aggregated columns, if the order names group keys and plain sums only."""
+    kinds, keys = dict(measures), []
+    for o in order:
+        if not isinstance(o, str):
+            return None
+        name = o.lstrip("-")
+        kind = kinds.get(name)
+        if kind is not None and (_MEASURES[kind][1] is None or any(a in _DISTINCT for a in _MEASURES[kind][0])):
+            return None
+        c = F.col(name) if kind is None else _MEASURES[kind][1]()
+        keys.append(c.desc_nulls_first() if o.startswith("-") else c.asc_nulls_last())
+    return keys or None
+
+
+def _with_distinct(grouped: DataFrame, C: DataFrame, by, keys: list[str], a: str, few: int | None) -> DataFrame:
+    """``grouped`` with COUNT(DISTINCT) ``a`` of each group, from an aggregate of its own.
+
+    ``few``: ``grouped`` has at most so many rows, and only their rows of ``C`` are counted.
+    """
+    counted = F.countDistinct(_DISTINCT[a]).alias(a)
+    if not keys:  # DISTINCT as a step of its own: Catalyst would merge plain counts into one expanded aggregate
+        return grouped.withColumn(a, C.select(_DISTINCT[a]).distinct().agg(F.count(_DISTINCT[a])).scalar())
+    # NULL keys are groups too: a struct of them joins like any value
+    wanted = grouped.withColumn("_group", F.struct(*keys))
+    rows = C.select(F.struct(*[b if isinstance(b, Column) else F.col(b) for b in by]).alias("_group"), _DISTINCT[a])
+    if few is not None:
+        rows = rows.join(F.broadcast(wanted.select("_group")), "_group", "left_semi")
+    counts = rows.groupBy("_group").agg(counted)
+    return wanted.join(F.broadcast(counts) if few is not None else counts, "_group").drop("_group")
+
+
 def business_overview(C: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Headline KPIs in one row.
 
-    Five exact distinct counts share one aggregate (Catalyst expands each row
-    once per distinct column before the map-side dedup).  ``exact=False``
+    Five exact distinct counts, each a scan of its own column.  ``exact=False``
     uses HyperLogLog++ sketches instead (``approx_count_distinct``, relative
-    error ``rsd``): fixed-size partial states and no expansion.
+    error ``rsd``): fixed-size partial states in one scan.
     """
     return revenue_breakdown(
         C,

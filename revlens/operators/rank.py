@@ -1,26 +1,32 @@
 """Global order statistics without a single-task window.
 
 ``Window.orderBy(...)`` with no PARTITION BY sends every row to one task.
-For RANK / NTILE over all customers and for exact percentiles we instead:
-
-1. range-partition on the sort keys (sampled bounds, AQE may merge adjacent
-   partitions, which keeps them in order) and add ``_pid`` = partition index;
-2. number rows inside each range (a window partitioned by ``_pid``: one task
-   per range, each a bounded slice);
-3. freeze with a reliable ``checkpoint()`` (RANK/NTILE: after step 2;
-   percentiles: after step 1) so the sampled bounds cannot differ between
-   the jobs that read the rows;
-4. turn per-partition counts into global offsets on a table of P rows (P =
-   number of range partitions, fixed by configuration), broadcast it and add.
-
-Ties that straddle partitions are resolved from per-partition first/last
-values, again on the P-row table.
+For RANK / NTILE over all customers we instead:
+
+1. range-partition on the sort keys, tie breakers included (sampled bounds), and sort inside
+   the partitions: the one exchange of whole rows;
+2. read a row's place in its partition off ``monotonically_increasing_id`` (partition number
+   and row number in one long: no window, no second exchange) and write the rows, so that the
+   sampled bounds cannot differ between the jobs that read them;
+3. turn per-partition counts into global offsets on a table of P rows (P = number of range
+   partitions, fixed by configuration), broadcast it and add.
+
+RANK is the place of the first row with an equal value. Only values that occur more than once
+need looking up; they are found by an aggregate over (value, place), pre-combined map-side.
+
+Exact percentiles of decimals and whole numbers count values in a histogram and refine the
+buckets that hold the wanted order statistics (``percentiles_cont``); no value is sorted or
+shuffled. Other types range-partition the distinct values.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DecimalType, IntegerType, ShortType
 
 from revlens.functions.numeric import int_div
 from revlens.session import freeze
@@ -62,54 +68,127 @@ def rank_ntile(
     tie_breakers: list[str],
     n: int = 4,
     descending: bool = True,
-    rank_col: str = "rank",
+    rank_col: str | None = "rank",
     ntile_col: str = "ntile",
 ) -> DataFrame:
     """Add RANK() OVER (ORDER BY value) and NTILE(n) OVER (ORDER BY value, tie_breakers).
 
     ``descending`` follows PostgreSQL: DESC puts NULLs first, ASC puts them last.
     The tie breakers make NTILE deterministic (the reference leaves it open).
+    ``rank_col=None`` leaves RANK out, and its look-up of equal values.
     """
     v = F.col(value)
-    vkey = v.desc_nulls_first() if descending else v.asc_nulls_last()
-    order = [vkey] + [F.col(c).asc_nulls_last() for c in tie_breakers]
-    # Number rows inside each range, then freeze once: the windows run a single
-    # time and both the P-row stats and the output read the frozen rows.
-    ranged = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    local = freeze(
-        ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).withColumn(
-            "_rk", F.rank().over(Window.partitionBy("_pid").orderBy(vkey))
-        )
-    )
-    stats = local.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.min_by(v, F.col("_rn")).alias("_first"),
-        F.max_by(v, F.col("_rn")).alias("_last"),
-        F.max("_rk").alias("_last_rk"),
-    )
-    stats = _offsets(stats, "_cnt").withColumn("_last_start", F.col("_offset") + F.col("_last_rk") - 1)
-    # Where a run of equal values starts, for values that end a partition (P rows at most).
-    runs = stats.groupBy(F.col("_last").alias("_run_value")).agg(F.min("_last_start").alias("_carry"))
-    stats = stats.join(runs, stats["_first"].eqNullSafe(runs["_run_value"]), "left").select(
-        "_pid", "_offset", "_total", "_first", "_carry"
-    )
+    order = [v.desc_nulls_first() if descending else v.asc_nulls_last()]
+    order += [F.col(c).asc_nulls_last() for c in tie_breakers]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    rows = freeze(placed).withColumn("_pid", F.shiftright("_place", 33)).withColumn("_at", F.col("_place").bitwiseAND((1 << 33) - 1))
+    stats = _offsets(rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")), "_cnt").drop("_cnt")
+    rows = rows.join(F.broadcast(stats), "_pid")  # one row per range partition
+    index0 = F.col("_offset") + F.col("_at")
+    out = [F.col(c) for c in df.columns]
+    if rank_col is not None:
+        ties = rows.groupBy(F.struct(value).alias("_run")).agg(F.min(index0).alias("_start"), F.count(F.lit(1)).alias("_n"))
+        ties = ties.where("_n > 1").drop("_n")  # a struct of a NULL joins like any other
+        rows = rows.join(ties, F.struct(value) == F.col("_run"), "left")
+        out.append((F.coalesce("_start", index0) + 1).cast("long").alias(rank_col))
+    return rows.select(*out, ntile_of(index0, F.col("_total"), n).alias(ntile_col))
+
+
+#: Buckets of a histogram, as a power of two: at most so many rows reach its single-task window.
+_BITS = 16
+
+
+def _ranks(n: int, fractions: dict[str, float]) -> dict[str, tuple[int, int, float]]:
+    """Places (from 0) of the two values each fraction lies between, and how far it lies between them."""
+    out = {}
+    for name, f in fractions.items():
+        p = float(f) * (n - 1)
+        lo = math.floor(p)
+        out[name] = (lo, math.ceil(p), p - lo)
+    return out
 
-    out = local.join(F.broadcast(stats), "_pid")
-    first_run = v.eqNullSafe(F.col("_first"))
-    start0 = F.when(
-        first_run, F.least(F.col("_offset"), F.coalesce(F.col("_carry"), F.col("_offset")))
-    ).otherwise(F.col("_offset") + F.col("_rk") - 1)
-    index0 = F.col("_offset") + F.col("_rn") - 1
-    return out.select(
-        *df.columns,
-        (start0 + 1).cast("long").alias(rank_col),
-        ntile_of(index0, F.col("_total"), n).alias(ntile_col),
-    )
+
+def _order_statistics(values: DataFrame, low: int, high: int, places: list[int]) -> DataFrame:
+    """One row, one column ``w``: an array with the values at ``places`` (0-based, in order).
+
+    ``values`` has one whole number ``u`` per row, all from ``low`` to ``high``. A histogram of at
+    most 2^_BITS buckets finds the bucket of each place and how many values lie below it;
+    buckets wider than one value are refined by a histogram of their own, over their values only.
+    The chain is lazy: a level reads the one above it as a scalar.
+    """
+    at = F.col("u") - F.lit(low)
+    shift = max(0, (high - low).bit_length() - _BITS)
+    counts = values.groupBy(F.lit(0).cast("long").alias("above"), F.shiftright(at, shift).alias("b"))
+    found = None
+    while True:
+        counts = counts.agg(F.count(F.lit(1)).alias("c"))
+        run = Window.partitionBy("above").orderBy("b").rowsBetween(_UNB, -1)
+        counts = counts.withColumn("below", F.coalesce(F.sum("c").over(run), F.lit(0)))
+        if found is not None:  # what lies below the bucket above
+            at_above = (F.array_position(found["b"], F.col("above")) - 1).cast("int")
+            counts = counts.withColumn("below", F.col("below") + F.get(found["below"], at_above))
+        picks = []
+        for k in places:
+            hit = (F.col("below") <= k) & (k < F.col("below") + F.col("c"))
+            if found is not None:  # buckets of other places are not below this one's
+                hit = hit & (F.col("above") == F.get(found["b"], F.lit(places.index(k))))
+            picks.append(F.max(F.when(hit, F.struct("b", "below"))))
+        one = counts.agg(F.array(*picks).alias("w"))
+        if shift == 0:
+            return one.select(F.transform("w", lambda x: x["b"] + low).alias("w"))
+        # arrays side by side: a scalar may not stand inside a lambda
+        found = one.select(F.struct(F.col("w")["b"].alias("b"), F.col("w")["below"].alias("below"))).scalar()
+        wanted = values.where(F.array_contains(found["b"], F.shiftright(at, shift)))
+        above, shift = shift, max(0, shift - _BITS)
+        counts = wanted.groupBy(F.shiftright(at, above).alias("above"), F.shiftright(at, shift).alias("b"))
+
+
+def _scale(kind) -> int | None:
+    """Digits after the point of a type whose values are whole numbers of 64 bits over a power of ten."""
+    if isinstance(kind, DecimalType) and kind.precision <= 18:
+        return kind.scale
+    return 0 if isinstance(kind, (ByteType, ShortType, IntegerType)) else None
 
 
 def percentiles_cont(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact PERCENTILE_CONT(f) WITHIN GROUP (ORDER BY value) for each named fraction, as DOUBLE.
 
+    Decimals of up to 18 digits and whole numbers of up to 32 bits: one job over the one column
+    finds count, sum, least and greatest value (the only job run while the result is built), then
+    histograms find the order statistics, lazily. Only bucket counts, combined map-side, are
+    shuffled. Other types: :func:`_percentiles_by_range`.
+
+    Interpolates lo + (hi - lo) * frac, as PostgreSQL does in float8. Returns one row with the
+    fractions plus ``_min, _max, _sum, _n`` of the non-NULL values (all but ``_n`` NULL on empty input).
+    """
+    kind = df.schema[value].dataType
+    scale = _scale(kind)
+    if scale is None:
+        return _percentiles_by_range(df, value, fractions)
+    v = F.col(value)
+    found = df.agg(F.min(v).alias("_min"), F.max(v).alias("_max"), F.sum(v).alias("_sum"), F.count(v).alias("_n"))
+    known = found.first()
+    spark, out = df.sparkSession, found.schema
+    row = spark.createDataFrame([tuple(known)], out)
+    if not known["_n"]:
+        return row.select("*", *[F.lit(None).cast("double").alias(name) for name in fractions])
+    unit = Decimal(10) ** scale
+    values = df.where(v.isNotNull()).select((v * F.lit(unit)).cast("long").alias("u") if scale else v.cast("long").alias("u"))
+    ranks = _ranks(known["_n"], fractions)
+    places = sorted({k for lo, hi, _ in ranks.values() for k in (lo, hi)})
+    low, high = int(known["_min"] * unit), int(known["_max"] * unit)
+    stats = _order_statistics(values, low, high, places)
+    pick = lambda k: F.get("w", F.lit(places.index(k))).cast("decimal(38,0)") / F.lit(unit)
+    cols = []
+    for name, (lo, hi, fr) in ranks.items():
+        a, b = pick(lo).cast("double"), pick(hi).cast("double")
+        cols.append((a + (b - a) * F.lit(fr)).alias(name))
+    return stats.select(*[F.lit(known[f.name]).cast(f.dataType).alias(f.name) for f in out.fields], *cols)
+
+
+def _percentiles_by_range(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
+    """``percentiles_cont`` for any type that can be ordered.
+
     1. distinct values with their counts (map-side aggregated: a hot value costs one row);
     2. range-partition + freeze them; per-partition count/min/max/sum give, on
        the P-row stats table, the global offsets and totals;

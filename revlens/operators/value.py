@@ -44,7 +44,7 @@ def customer_tiers(
 ) -> DataFrame:
     """RANK and NTILE(n) of customers by lifetime revenue, with one tier label per bucket.
 
-    ``revenue_only`` leaves out order counts and dates, and their share of the aggregation.
+    ``revenue_only`` leaves out order counts, dates and the rank, and their share of the work.
 
     Ranking is distributed (``rank_ntile``): no task ever holds all customers.
     NTILE ties are broken by the group keys so the buckets are deterministic.
@@ -53,12 +53,13 @@ def customer_tiers(
         raise ValueError(f"{n} buckets need {n} tier labels, got {len(tier_labels)}")
     ct = customer_totals(C, keys, revenue_only)
     ranked = rank_ntile(
-        ct, "lifetime_revenue", list(keys), n=n, descending=True, rank_col="revenue_rank", ntile_col="revenue_quartile"
+        ct, "lifetime_revenue", list(keys), n=n, descending=True,
+        rank_col=None if revenue_only else "revenue_rank", ntile_col="revenue_quartile",
     )
     out = ranked.select(
         *[c for c in ct.columns if c in (*keys, "total_orders", "lifetime_revenue")],
         *[c for c in ct.columns if c in ("first_order", "last_order")],
-        "revenue_rank",
+        *[c for c in ranked.columns if c == "revenue_rank"],
         F.col("revenue_quartile").cast("long").alias("revenue_quartile"),
         _tier_label(F.col("revenue_quartile"), tier_labels).alias("customer_tier"),
     )

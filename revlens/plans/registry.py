@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, IntegerType, ShortType
 
 from revlens import operators as ops
-from revlens.sources.store import clean_table, csv_table, sales_table
+from revlens.sources.store import clean_table, csv_table, grain_table, sales_table
 
-RAW, CLEAN, CSV = "raw", "clean", "csv"
+# GRAIN: the customer-month grain; these operators sum sales by its columns, so they take the cleaned sales as well
+RAW, CLEAN, CSV, GRAIN = "raw", "clean", "csv", "grain"
 
 # key -> (input kind, operator).  Order follows the reference scripts.
 CATALOG: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
@@ -50,32 +51,32 @@ CATALOG: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "discount_impact": (CLEAN, ops.discount_impact),
     # 2.3 MRR
     "mrr_monthly": (CLEAN, ops.mrr_monthly),
-    "mrr_growth": (CLEAN, ops.mrr_growth),
-    "mrr_running": (CLEAN, ops.mrr_running),
+    "mrr_growth": (GRAIN, ops.mrr_growth),
+    "mrr_running": (GRAIN, ops.mrr_running),
     "quarterly_summary": (CLEAN, ops.quarterly_summary),
     "mrr_by_product": (CLEAN, ops.mrr_by_product),
-    "best_worst_months": (CLEAN, ops.best_worst_months),
+    "best_worst_months": (GRAIN, ops.best_worst_months),
     # 2.4 churn and cohorts
-    "churn_status": (CLEAN, ops.churn_status),
-    "monthly_churn": (CLEAN, ops.monthly_churn),
-    "churned_revenue_list": (CLEAN, ops.churned_revenue_list),
-    "cohort_retention": (CLEAN, ops.cohort_retention),
-    "revenue_churn": (CLEAN, ops.revenue_churn),
+    "churn_status": (GRAIN, ops.churn_status),
+    "monthly_churn": (GRAIN, ops.monthly_churn),
+    "churned_revenue_list": (GRAIN, ops.churned_revenue_list),
+    "cohort_retention": (GRAIN, ops.cohort_retention),
+    "revenue_churn": (GRAIN, ops.revenue_churn),
     # 2.5 ARPU and customer value
-    "arpu_overall": (CLEAN, ops.arpu_overall),
-    "arpu_monthly": (CLEAN, ops.arpu_monthly),
-    "arpu_by_segment": (CLEAN, ops.arpu_by_segment),
-    "arpu_by_region": (CLEAN, ops.arpu_by_region),
+    "arpu_overall": (GRAIN, ops.arpu_overall),
+    "arpu_monthly": (GRAIN, ops.arpu_monthly),
+    "arpu_by_segment": (GRAIN, ops.arpu_by_segment),
+    "arpu_by_region": (GRAIN, ops.arpu_by_region),
     "arpu_by_product": (CLEAN, ops.arpu_by_product),
     "customer_tiers": (CLEAN, ops.customer_tiers),
-    "customer_running_revenue": (CLEAN, ops.customer_running_revenue),
-    "revenue_movement": (CLEAN, ops.revenue_movement),
+    "customer_running_revenue": (GRAIN, ops.customer_running_revenue),
+    "revenue_movement": (GRAIN, ops.revenue_movement),
     "cross_sell": (CLEAN, ops.cross_sell),
-    "executive_summary": (CLEAN, ops.executive_summary),
+    "executive_summary": (GRAIN, ops.executive_summary),
     # 2.6 README variants
-    "mrr_growth_brief": (CLEAN, ops.mrr_growth_brief),
-    "monthly_churn_brief": (CLEAN, ops.monthly_churn_brief),
-    "customer_tiers_brief": (CLEAN, ops.customer_tiers_brief),
+    "mrr_growth_brief": (GRAIN, ops.mrr_growth_brief),
+    "monthly_churn_brief": (GRAIN, ops.monthly_churn_brief),
+    "customer_tiers_brief": (GRAIN, ops.customer_tiers_brief),
 }
 
 
@@ -105,7 +106,7 @@ def source(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         return raw
     if spark.conf.get(MATERIALIZE_CLEAN, "true").lower() == "false":
         return ops.clean(raw)
-    return clean_table(spark, sf_dir)
+    return grain_table(spark, sf_dir) if kind == GRAIN else clean_table(spark, sf_dir)
 
 
 def run(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:

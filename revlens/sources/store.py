@@ -1,17 +1,22 @@
-"""Materialised sales fact (and cleaned rows), written once per session into the shared checkpoint folder.
+"""Stored sales fact, cleaned rows and customer-month grain, each written once for its input.
 
 The reference keeps ``saas_sales`` as a stored table and re-evaluates the
 cleaned view on every read.  We store the fact the same way: the star join
 (shuffle joins at scale) runs once, its result is written as Parquet under
-``<spark checkpoint dir>/revlens-tables/``, and every query scans that file
+``<spark.checkpoint.dir>/revlens-tables/``, and every query scans that file
 (Parquet pushdown + column pruning), never the join again.  The cleaned rows
-are by default written once too (a materialised view, ``clean_table``), and a
-header-CSV export exists for the CSV load check (``sales_csv``).  Written
-tables also survive executor loss, unlike cached blocks.
+are by default written once too (a materialised view, ``clean_table``), and so
+is the small grain most queries read (``grain_table``). A header-CSV export
+exists for the CSV load check (``sales_csv``).  Written tables survive executor
+loss, unlike cached blocks.
+
+Tables are replaced in one step and found again by other sessions that use the same
+folder and input (``versions``); ``drop_tables`` deletes them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import threading
 import uuid
@@ -21,57 +26,74 @@ from pyspark.sql import functions as F
 
 from revlens.schema import RAW_SCHEMA
 from revlens.session import checkpoint_dir, session_key
+from revlens.sources import grain, versions
 from revlens.sources.star import STAR_TABLES, star_sales
 
-_LOCK = threading.Lock()
+#: Raise it when the mapping or the cleaning changes, so that no table of older code is read.
+LAYOUT = 1
+
+_LOCK = threading.RLock()
 _TABLES: dict[tuple, DataFrame | str] = {}  # resolved once: file listing and footers are read once
 
 
-def _listing(spark: SparkSession, path: str) -> tuple:
-    """Name, size and time of every file under ``path``, on whatever file system it is."""
+def _where(sf_dir: str) -> str:
+    return sf_dir.rstrip("/") if "://" in sf_dir else os.path.abspath(sf_dir)
+
+
+def _source(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the input, by a fixed number of calls: rewritten input gives another one, so no stale table is read."""
     try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: no listing, the path alone is the key
-        return (path,)
-    root = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return ()
-    files, found = fs.listFiles(root, True), []
-    while files.hasNext():
-        f = files.next()
-        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(found))
-
-
-def _key(spark: SparkSession, sf_dir: str) -> tuple:
-    """Rewritten input gives another key, so no stale table is read."""
-    where = sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)
-    return (session_key(spark), where, *[_listing(spark, f"{where.rstrip('/')}/{t}.parquet") for t in STAR_TABLES])
-
-
-def materialize(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet into a fresh folder under the checkpoint dir; return its path."""
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/revlens-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+        spark.sparkContext
+    except Exception:  # Spark Connect: no file system at hand; tables are per session
+        return session_key(spark)
+    where = _where(sf_dir)
+    return f"{LAYOUT}-{versions.signature(spark, *[f'{where}/{t}.parquet' for t in STAR_TABLES])}"
 
 
-def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw ``saas_sales`` fact for ``sf_dir`` (star join materialised once per session)."""
-    key = ("raw", *_key(spark, sf_dir))
+def _base(spark: SparkSession) -> str:
+    """Folder of all stored tables: the configured shared folder itself, or the session's where none is."""
+    own = checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/") + "/revlens-tables"
+
+
+def _root(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return f"{_base(spark)}/{name}-{hashlib.md5(_where(sf_dir).encode()).hexdigest()[:12]}"
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> str:
+    """Folder of the stored table ``name`` for this input, written by ``make()`` if there is none yet."""
+    key = (session_key(spark), name, _where(sf_dir), _source(spark, sf_dir))
     with _LOCK:
-        df = _TABLES.get(key)
-        if df is None:
-            path = materialize(star_sales(spark, sf_dir), "saas_sales")
-            df = _TABLES[key] = spark.read.schema(RAW_SCHEMA).parquet(path)
+        path = _TABLES.get(key)
+        if path is None:
+            root = _root(spark, sf_dir, name)
+            path = versions.find(spark, root, key[-1]) or versions.replace(make(), root, key[-1])
+            _TABLES[key] = path
+    return path
+
+
+def _read(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    key = (session_key(spark), "read", path)
+    df = _TABLES.get(key)
+    if df is None:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        df = _TABLES[key] = reader.parquet(path)
     return df
 
 
+def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw ``saas_sales`` fact for ``sf_dir`` (star join written once)."""
+    return _read(spark, _stored(spark, sf_dir, "saas_sales", lambda: star_sales(spark, sf_dir)), RAW_SCHEMA)
+
+
+def _clean_path(spark: SparkSession, sf_dir: str) -> str:
+    from revlens.operators.clean import clean
+
+    return _stored(spark, sf_dir, "saas_clean", lambda: clean(sales_table(spark, sf_dir)))
+
+
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned view for ``sf_dir``, materialised once per session (like a materialised view).
+    """The cleaned view for ``sf_dir``, written once (like a materialised view).
 
     INITCAP over the text columns is the most expensive expression of the
     whole flow; writing the cleaned rows once means no query re-evaluates it.
@@ -80,29 +102,47 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     while the plain layout lets every aggregation pre-aggregate map-side
     before its shuffle.
     """
-    from revlens.operators.clean import clean
+    return _read(spark, _clean_path(spark, sf_dir))
 
-    key = ("clean", *_key(spark, sf_dir))
-    raw = sales_table(spark, sf_dir)
+
+def grain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer-month grain of ``clean_table``, bucketed by customer (``grain``).
+
+    Clean files that an earlier refresh has read are not read again.
+    """
+    source = _clean_path(spark, sf_dir)
+    key = (session_key(spark), "grain", source)
     with _LOCK:
         df = _TABLES.get(key)
         if df is None:
-            df = _TABLES[key] = spark.read.parquet(materialize(clean(raw), "saas_clean"))
+            root = _root(spark, sf_dir, "customer_month")
+            grain.refresh(spark, source, root)
+            df = _TABLES[key] = grain.grain(spark, root)
     return df
 
 
+def drop_tables(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Delete the stored tables of one input, or of all; the next query writes them anew."""
+    with _LOCK:
+        _TABLES.clear()
+        if sf_dir is None:
+            versions.drop(spark, _base(spark))
+        else:
+            for name in ("saas_sales", "saas_clean", "customer_month"):
+                versions.drop(spark, _root(spark, sf_dir, name))
+
+
 def sales_csv(spark: SparkSession, sf_dir: str) -> str:
     """Path of a header CSV export of the raw fact (written once per session), the input
     format of the reference's load step; read it with ``sources.load_csv``."""
     from revlens.sources.csv import write_csv
 
-    key = ("csv", *_key(spark, sf_dir))
+    key = ("csv", session_key(spark), _where(sf_dir), _source(spark, sf_dir))
     raw = sales_table(spark, sf_dir)
     with _LOCK:
         path = _TABLES.get(key)
         if path is None:
-            base = checkpoint_dir(spark).rstrip("/")
-            path = f"{base}/revlens-tables/saas_sales_csv-{uuid.uuid4().hex}"
+            path = f"{_base(spark)}/saas_sales_csv-{uuid.uuid4().hex}"
             write_csv(raw, path, mode="errorifexists")
             _TABLES[key] = path
     return path
@@ -113,12 +153,11 @@ def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.sources.csv import load_table
 
     source = sales_csv(spark, sf_dir)
-    key = ("csv-table", *_key(spark, sf_dir))
+    key = ("csv-table", source)
     with _LOCK:
         df = _TABLES.get(key)
         if df is None:
-            base = checkpoint_dir(spark).rstrip("/")
-            df = _TABLES[key] = load_table(spark, source, f"{base}/revlens-tables/saas_sales_load-{uuid.uuid4().hex}")
+            df = _TABLES[key] = load_table(spark, source, f"{_base(spark)}/saas_sales_load-{uuid.uuid4().hex}")
     return df
 
 
