@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,3 +66,19 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     """A reproducible number in [0, 1) from the first 52 bits of an MD5 (null counts as empty)."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def own_names(*known: str):
+    """For an operator on documents: columns other than ``known`` are numbered on the way in and
+    get their names back on the way out, so none clashes with a name the operator uses."""
+
+    def wrap(op):
+        @functools.wraps(op)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            inner = [c if c in known else f"column{i}" for i, c in enumerate(docs.columns)]
+            out = op(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, inner)]), *args, **options)
+            return out.select(*[F.col(x).alias(c) for c, x in zip(docs.columns, inner)])
+
+        return run
+
+    return wrap

@@ -10,8 +10,8 @@ third of all rows costs no more than any other.
 
 Defined cases: null text has size 0; null source is a source of its own and sorts last;
 a source without words gets target 0 and rate 0; rows repeated exactly draw the same
-trial; an empty table gives an empty result; columns other than ``doc_id, text, source``
-are carried by :func:`mix` and ignored by :func:`plan`.
+trial; very long texts are counted whole; an empty table gives an empty result; columns other
+than ``doc_id, text, source``, whatever their names, are carried by :func:`mix` and ignored by :func:`plan`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import WORD, cut, documents, numbered, unit_hash
+from revlens.llm.common import WORD, cut, documents, numbered, own_names, unit_hash
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -93,6 +93,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     )
 
 
+@own_names("doc_id", "text", "source", "n_chars")
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mixed documents: the input's columns, each row as often as its source's rate says."""
     names = [f"`{c}`" for c in docs.columns]

@@ -14,6 +14,10 @@ WORD = re.compile(f"[^{BLANK}]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use or return, as extra columns of the input.
 CLASH = ("id", "line", "size", "words", "band", "row", "block", "fingerprint", "rank", "copies", "kept", "d", "k", "n")
+CLASH += ("__text", "__words", "__lines", "__windows", "__pairs", "__again", "__good", "__row", "__n_words", "__kept_chars", "__base_failed")
+CLASH += ("__size", "__source", "__draw", "__copies", "__copy", "__goal", "source_size", "target")
+CLASH += ("__removed", "__doc_id", "__t", "__u", "t", "u", "line_no", "removed", "column0", "column5")
+CLASH += ("__fp", "__0", "__5", "__doc", "__root", "__key", "root", "shard", "component_id")
 
 
 def corpus() -> list[tuple]:

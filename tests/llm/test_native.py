@@ -85,6 +85,22 @@ def test_clean_drops_bad_lines_and_documents(spark):
     assert got == [(1, text, len(text))]
 
 
+def test_lines_in_other_scripts_and_whole_words(spark):
+    words = " ".join(f"shabd{i}" for i in range(25))
+    kept = [
+        "यह एक साफ़ हिन्दी वाक्य है जिसमें बीस से अधिक शब्द हैं ताकि नियम इसे छोटा न समझे और पूरा रखे जाने योग्य माने तथा हटाए नहीं।",
+        "هل هذا نص عربي واضح يحتوي على أكثر من عشرين كلمة حتى لا تعتبره القاعدة قصيرا جدا وترفضه من دون سبب وجيه أو مفيد لنا؟",
+        "ይህ ንጹህ ጽሑፍ ነው ከሃያ በላይ ቃላት አሉት ስለዚህ ደንቡ አጭር ነው ብሎ አይጥለውም እና ሙሉ በሙሉ ይቀመጣል ምክንያቱም ምልክት ስላለው ነው ሁሉም ጥሩ ናቸው።",
+        " ".join(f"คำ{i}" for i in range(10)) + " ภาษา ไทย " + "ที่ ไม่ มี เครื่องหมาย จบ ประโยค อยู่ เลย ใน บรรทัด นี้",
+        f"{words} \u0e2a",
+        "The cataloging and design increments of this presubscribed set belong to javascripted notes about precookies and more words to fill it up well.",
+    ]
+    gone = [words, "Please read more of it now: click here to go on to the next of these many pages that we have all over the whole site."]
+    rows = [(i, t, None, None, None) for i, t in enumerate(kept + gone)]
+    got = {r.doc_id: r.kept for r in quality.judge(brute.frame(spark, rows)).collect()}
+    assert got == {i: i < len(kept) for i in range(len(rows))}
+
+
 def test_lines_equal_brute_force(spark, rows):
     want = brute.removed_lines(rows)
     df = brute.frame(spark, rows)
@@ -165,7 +181,7 @@ def test_prefixes_lose_no_similar_pair_and_spare_the_others(spark):
     texts = set()
     for i in range(250):  # one base with more and more of its words changed, and lines that share nothing
         line = list(base) if i % 5 else r.choices(words, k=r.randint(1, 50))
-        for at in r.sample(range(len(line)), min(len(line), i % 16)):
+        for at in r.sample(range(len(line)), min(len(line), i % 7)):
             line[at] = r.choice(words) + r.choice(words)
         texts.add(" ".join(line))
     texts = sorted(texts)
@@ -176,7 +192,7 @@ def test_prefixes_lose_no_similar_pair_and_spare_the_others(spark):
     sets = [brute.line_shingles(t) for t in texts]
     like = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])}
     touching = sum(bool(sets[i] & sets[j]) for j in range(len(sets)) for i in range(j))
-    assert len(like) > 100 and like <= met and len(met) < touching / 3
+    assert len(like) > 50 and like <= met and len(met) < touching / 3
 
 
 def test_fingerprints_equal_brute_force(spark, rows):
