@@ -146,11 +146,12 @@ def distinct_products(raw: DataFrame) -> DataFrame:
     return distinct_values(raw, "product")
 
 
+def load_metrics() -> list[Column]:
+    """A3, A5, A6 and A11 as aggregates without DISTINCT, so that a load can observe them as it writes."""
+    suspicious = F.count(F.when(F.col("sales") <= 0, 1)).alias("suspicious_revenue_rows")
+    return [*_load_profile_cols(), *_null_profile_cols(CRITICAL_COLUMNS), suspicious]
+
+
 def quality_report(raw: DataFrame) -> DataFrame:
     """A5 + A6 + A9 + A11 in one pass over the raw table (one row)."""
-    return raw.agg(
-        *_load_profile_cols(),
-        *_null_profile_cols(CRITICAL_COLUMNS),
-        *_date_coverage_cols(),
-        F.count(F.when(F.col("sales") <= 0, 1)).alias("suspicious_revenue_rows"),
-    )
+    return raw.agg(*load_metrics(), *_date_coverage_cols())

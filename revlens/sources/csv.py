@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -68,17 +68,31 @@ def _within(name: str, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.coalesce(too_long, F.left(c, F.lit(limit)))).otherwise(c).alias(name)
 
 
-def load_table(spark: SparkSession, path: str, target: str, mode: str = "errorifexists", **options) -> DataFrame:
+def load_table(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    mode: str = "errorifexists",
+    metrics: Observation | None = None,
+    **options,
+) -> DataFrame:
     """Load CSV files into the raw table at ``target`` (Parquet), all or nothing, and read it back.
 
     Every cell of all 19 columns is parsed and checked against its type and VARCHAR limit by
     the one job that writes the table; a bad cell fails that job before it commits.
+    ``metrics`` gathers the load check in that same job, without a scan of the table:
+    ``metrics.get`` then holds row count, non-NULL and NULL counts, date range, revenue and the
+    rows with no positive sales, under the names of :func:`quality_report`.
     ``options`` are those of :func:`load_csv`.
     """
     raw = load_csv(spark, path, mode="FAILFAST", **options)
     checked = raw.select(
         *[_within(f.name, VARCHAR_LIMITS[f.name]) if f.name in VARCHAR_LIMITS else F.col(f.name) for f in RAW_SCHEMA.fields]
     )
+    if metrics is not None:
+        from revlens.operators.quality import load_metrics
+
+        checked = checked.observe(metrics, *load_metrics())
     save_raw(checked, target, mode)
     if "/" in target or ":" in target:
         return spark.read.schema(RAW_SCHEMA).parquet(target)

@@ -117,3 +117,37 @@ def test_load_is_all_or_nothing_whatever_column_is_bad(spark, bad):
 def test_varchar_cuts_only_blanks(spark):
     table = load_table(spark, _written([_row(0, contact='"' + "x" * 100 + '   "')]), os.path.join(_tmp(), "t"))
     assert table.first().contact_name == "x" * 100
+
+
+def test_load_check_is_gathered_by_the_load_itself(spark, sf_small, tmp_path):
+    from pyspark.sql import Observation
+
+    from revlens.operators import load_profile, nonpositive_sales, null_profile, raw_row_count
+    from revlens.sources import load_table
+    from revlens.sources.store import sales_csv
+
+    source, seen = sales_csv(spark, sf_small), Observation("load")
+    sc = spark.sparkContext
+    sc.setJobGroup("observed", "observed")
+    try:
+        raw = load_table(spark, source, str(tmp_path / "raw"), metrics=seen)
+        assert len(sc.statusTracker().getJobIdsForGroup("observed")) == 1  # the job that writes
+        got = seen.get
+        assert len(sc.statusTracker().getJobIdsForGroup("observed")) == 1
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    for check in (raw_row_count, load_profile, null_profile, nonpositive_sales):
+        want = check(raw).first().asDict()
+        assert {k: got[k] for k in want} == want
+
+
+def test_load_check_of_an_empty_file(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from revlens.schema import RAW_SCHEMA
+    from revlens.sources import load_table
+
+    (tmp_path / "in.csv").write_text(",".join(RAW_SCHEMA.fieldNames()) + "\n")
+    seen = Observation()
+    assert load_table(spark, str(tmp_path / "in.csv"), str(tmp_path / "raw"), metrics=seen).count() == 0
+    assert seen.get["total_rows"] == 0 and seen.get["earliest_order"] is None
