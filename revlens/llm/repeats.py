@@ -3,8 +3,8 @@
 A byte is removed if it lies in a ``LEAST``-byte string that also starts in a document with
 a smaller ``doc_id``. No suffix array of the whole corpus is needed for that:
 
-1. Texts are dealt by document into blocks (a bucketed table, written once; the later
-   passes read it without a shuffle). Every ``LEAST``-byte window has an anchor, its
+1. Texts are dealt row by row into blocks (a bucketed table, written once; the later
+   passes read it without a shuffle; dropped when the result is written). Every ``LEAST``-byte window has an anchor, its
    ``ANCHOR``-byte string of smallest hash; neighbouring windows mostly share one. Blocks
    send their distinct anchors (4 bytes each) to anchor shards, which return those that lie
    in more than one document.
@@ -13,9 +13,11 @@ a smaller ``doc_id``. No suffix array of the whole corpus is needed for that:
    have equal anchors, so all occurrences of a window meet in one shard.
 3. A shard sorts its windows' suffixes, takes the lcp of neighbours, and scans them with a
    stack: lcp-intervals of ``LEAST`` bytes or more that can be extended to the left by
-   different letters (or not at all) are the maximal repeats, each with all its occurrences
-   and its smallest doc_id. Occurrences in other documents return to their block as spans.
-4. Blocks apply the spans of smaller documents, join runs and hash what is left.
+   different letters (or not at all) are the segments' maximal repeats, each with all its
+   occurrences and its smallest doc_id. A repeat longer than a segment (``RUN`` windows) comes
+   as several that overlap; their union is the same. Occurrences in later documents are
+   joined into runs, which return to their block.
+4. Blocks join the runs of all shards and hash what is left.
 
 Bounds: blocks hold about ``BLOCK`` bytes of text and shards what as much text gives,
 whatever the corpus: their numbers grow with it. A passage that a third of all documents
@@ -52,6 +54,8 @@ SLICE = 1 << 20
 RUN = 64
 #: Parts that a shard's segments are worked off in, one after another.
 PARTS = 16
+#: Spans that a shard gives to their places at a time.
+_SPANS = 1 << 15
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -187,12 +191,26 @@ def _segments(part: pd.DataFrame, back: pd.DataFrame, shards: int):
     return found
 
 
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Rows (key ..., start, end) with the overlapping and touching runs of one key joined, in order."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort(runs[:, -2::-1].T)]
+    fresh = np.concatenate([[True], (runs[1:, :-2] != runs[:-1, :-2]).any(axis=1)])
+    apart = (np.cumsum(fresh) - 1) * (int(runs[:, -1].max()) + 2)  # keys side by side on one line
+    start, end = runs[:, -2] + apart, np.maximum.accumulate(runs[:, -1] + apart)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    out = runs[first]
+    out[:, -1] = (end - apart)[np.append(first[1:], len(runs)) - 1]
+    return out
+
+
 def _block_segments(part: pd.DataFrame, back: pd.DataFrame, shards: int) -> pd.DataFrame:
     """Per shard the block's segments: their bytes, numbers (part, length, smallest and largest
-    document, places) and places (document index, offset).
+    document, places), places (document index, offset) and the places' documents.
 
     A segment repeats as a whole for all but its smallest document in the block: those spans
-    are sent along in a row of their own, with the block's own negative shard.
+    are sent along, joined, in a row of their own with the block's own negative shard.
     """
     ids = part["d"].to_numpy()
     block = int(part["block"].iloc[0])
@@ -201,17 +219,19 @@ def _block_segments(part: pd.DataFrame, back: pd.DataFrame, shards: int) -> pd.D
     for (shard, turn, raw), places in _segments(part, back, shards).items():
         docs = [ids[i] for i, _ in places]
         lo, hi = min(docs), max(docs)
-        by.setdefault(shard, []).append((turn, len(raw), lo, hi, len(places), raw, places))
+        by.setdefault(shard, []).append((turn, len(raw), lo, hi, len(places), raw, places, docs))
         if lo != hi:
-            own += [(i, at, at + len(raw), lo) for (i, at), d in zip(places, docs) if d > lo]
+            own += [(i, at, at + len(raw)) for (i, at), d in zip(places, docs) if d > lo]
     rows = []
     for shard, found in by.items():
         found.sort(key=lambda x: x[0])
         numbers = np.array([x[:5] for x in found], np.int64)
-        places = np.array([p for x in found for p in x[6]], np.int64)
-        rows.append((shard, block, b"".join([x[5] for x in found]), numbers.tobytes(), places.tobytes()))
-    rows.append((-1 - block, block, b"", b"", np.array(own, np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "block", "raw", "numbers", "places"])
+        places = np.array([p for x in found for p in x[6]], np.int32)
+        docs = np.array([d for x in found for d in x[7]], np.int64)
+        rows.append((shard, block, b"".join([x[5] for x in found]), numbers.tobytes(), places.tobytes(), docs.tobytes()))
+    own = _joined(np.array(own, np.int64).reshape(-1, 3)).astype(np.int32)
+    rows.append((-1 - block, block, b"", b"", own.tobytes(), b""))
+    return pd.DataFrame(rows, columns=["shard", "block", "raw", "numbers", "places", "docs"])
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,40 +315,41 @@ def maximal_repeats(
 
 
 def _shard_spans(part: pd.DataFrame) -> pd.DataFrame:
-    """Spans (document index, start, end, smallest document) of the shard's maximal repeats, by block."""
+    """Runs (document index, start, end) that the shard's maximal repeats remove, joined, by block."""
     if part["shard"].iloc[0] < 0:  # a block's own spans pass through
         return pd.DataFrame({"block": part["block"], "spans": part["places"]})
     blobs = []
-    for b, raw, x, places in zip(part["block"], part["raw"], part["numbers"], part["places"]):
+    for b, raw, x, places, docs in zip(part["block"], part["raw"], part["numbers"], part["places"], part["docs"]):
         x = np.frombuffer(x, np.int64).reshape(-1, 5)
         ends = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(x[:, [1, 4]], axis=0)])
-        blobs.append((b, raw, x, np.frombuffer(places, np.int64).reshape(-1, 2), ends))
-    out = []
+        blobs.append((b, raw, x, np.frombuffer(places, np.int32).reshape(-1, 2), np.frombuffer(docs, np.int64), ends))
+    out = [np.zeros((0, 4), np.int64)]
     for turn in range(PARTS):
-        texts, blocks, numbers, places = [], [], [], []
-        for b, raw, x, at, ends in blobs:
+        texts, blocks, numbers, places, docs = [], [], [], [], []
+        for b, raw, x, at, d, ends in blobs:
             i, j = np.searchsorted(x[:, 0], [turn, turn + 1])
             texts.append(raw[ends[i, 0] : ends[j, 0]])
             numbers.append(x[i:j, 1:])
             places.append(at[ends[i, 1] : ends[j, 1]])
+            docs.append(d[ends[i, 1] : ends[j, 1]])
             blocks.append(np.full(j - i, b))
-        numbers, places, block = np.concatenate(numbers), np.concatenate(places), np.concatenate(blocks)
-        seg, offset, length, m = _part_spans(np.frombuffer(b"".join(texts), np.uint8), *numbers[:, :3].T)
-        if len(seg):  # a span at each place of its segment
-            count = numbers[:, 3]
-            first = np.cumsum(count) - count
-            each = np.repeat(np.arange(len(seg)), count[seg])
+        numbers, places, docs, block = (np.concatenate(x) for x in (numbers, places, docs, blocks))
+        spans = _part_spans(np.frombuffer(b"".join(texts), np.uint8), *numbers[:, :3].T)
+        count = numbers[:, 3]
+        first = np.cumsum(count) - count
+        for k in range(0, spans.shape[1], _SPANS):
+            seg, offset, length, m = spans[:, k : k + _SPANS]
+            each = np.repeat(np.arange(len(seg)), count[seg])  # a span at each place of its segment
             nth = np.arange(len(each)) - np.repeat(np.cumsum(count[seg]) - count[seg], count[seg])
-            doc, at = places[first[seg[each]] + nth].T
-            start = at + offset[each]
-            out.append(np.stack([block[seg[each]], doc, start, start + length[each], m[each]], axis=1))
-    if not out:
-        return pd.DataFrame({"block": [], "spans": []})
-    spans = np.concatenate(out)
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    blocks, at = np.unique(spans[:, 0], return_index=True)
-    each = np.split(spans[:, 1:], at[1:])
-    return pd.DataFrame({"block": blocks, "spans": [np.ascontiguousarray(s).tobytes() for s in each]})
+            place = first[seg[each]] + nth
+            hit = docs[place] > m[each]  # only documents after the smallest lose bytes
+            place, each = place[hit], each[hit]
+            start = places[place, 1] + offset[each]
+            out.append(_joined(np.stack([block[seg[each]], places[place, 0], start, start + length[each]], axis=1)))
+    runs = _joined(np.concatenate(out))
+    blocks, at = np.unique(runs[:, 0], return_index=True)
+    each = np.split(runs[:, 1:].astype(np.int32), at[1:])
+    return pd.DataFrame({"block": blocks, "spans": [np.ascontiguousarray(s).tobytes() for s, _ in zip(each, blocks)]})
 
 
 def _part_spans(text, sizes, lo, hi) -> np.ndarray:
@@ -383,22 +404,13 @@ def _part_spans(text, sizes, lo, hi) -> np.ndarray:
 
 def _apply(part: pd.DataFrame, spans: list[bytes]) -> pd.DataFrame:
     """The block's documents with their removed runs and what is left."""
-    ids = part["d"].to_numpy()
-    gone: dict[int, list[tuple[int, int]]] = {}
-    if spans:
-        all_ = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in spans])
-        all_ = all_[ids[all_[:, 0]] > all_[:, 3]]
-        for i, start, end in all_[:, :3].tolist():
-            gone.setdefault(i, []).append((start, end))
+    found = np.concatenate([np.zeros((0, 3), np.int64), *[np.frombuffer(b, np.int32).reshape(-1, 3) for b in spans]])
+    gone = _joined(found.astype(np.int64))
+    first = np.searchsorted(gone[:, 0], np.arange(len(part) + 1))
     rows = []
     for i, (d, data) in enumerate(_texts(part)):
         raw = data.tobytes()
-        runs: list[list[int]] = []
-        for a, b in sorted(gone.get(i, ())):
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], b)
-            else:
-                runs.append([a, b])
+        runs = gone[first[i] : first[i + 1], 1:].tolist()
         kept, at = [], 0
         for a, b in runs:
             kept.append(raw[at:a])
@@ -424,7 +436,8 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
     blocks = max(1, -(-total // block))
     shards = max(8, -(-total // block))
     table = f"llm_texts_{uuid.uuid4().hex}"
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks)).cast("long"))
+    # by row, not by document: rows that share a doc_id (or have none) may be a third of all
+    dealt = plain.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
     dealt.repartition(blocks, "block").write.format("parquet").option("compression", "zstd").bucketBy(
         blocks, "block"
     ).saveAsTable(table)
@@ -444,7 +457,7 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
         .cogroup(back.groupBy("block"))
         .applyInPandas(
             lambda part, returned: _block_segments(_ordered(part), returned, shards) if len(part) and len(returned) else _NO_SEGMENTS,
-            "shard long, block long, raw binary, numbers binary, places binary",
+            "shard long, block long, raw binary, numbers binary, places binary, docs binary",
         )
     )
     spans = cut(cutouts.groupBy("shard").applyInPandas(_shard_spans, "block long, spans binary"), "repeats-spans")
@@ -462,12 +475,14 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
             "removed array<array<long>>, kept binary",
         )
     )
+    out = cut(out, "repeats-kept")
+    spark.sql(f"DROP TABLE {table}")
     more = ["removed", "kept"] if with_text else []
     doc = F.when(F.col("known"), F.col("d")).cast(docs.schema["doc_id"].dataType)
     return out.select(doc.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *more)
 
 
-_NO_SEGMENTS = pd.DataFrame({c: [] for c in ("shard", "block", "raw", "numbers", "places")})
+_NO_SEGMENTS = pd.DataFrame({c: [] for c in ("shard", "block", "raw", "numbers", "places", "docs")})
 
 
 def _ordered(part: pd.DataFrame) -> pd.DataFrame:

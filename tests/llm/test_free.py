@@ -32,6 +32,35 @@ def test_repeats_equal_brute_force(spark, rows, block, hot):
         assert r.n_removed == sum(b - a for a, b in r.removed) and r.n_spans == len(r.removed)
 
 
+def test_repeats_where_a_third_of_all_rows_have_no_id_or_one_id(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(3, 9))) for _ in range(300)]
+    passage = " ".join(r.choices(words, k=14))
+    texts = [" ".join(r.choices(words, k=30)) for _ in range(60)]
+    rows = []
+    for i, t in enumerate(texts):
+        doc = None if i % 3 == 0 else 7 if i % 3 == 1 else i
+        rows.append((doc, f"{t} {passage} {texts[i // 2]}" if i % 4 else t, None, None, None))
+    rows += [rows[0]] * 5 + [rows[1]] * 5
+    got = repeats.dedup(brute.frame(spark, rows), with_text=False, block=2000).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute.repeats(rows))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_texts_")]
+
+
+def test_runs_are_joined_by_key():
+    r = random.Random(6)
+    rows = [(r.randrange(4), r.randrange(3), a := r.randrange(60), a + r.randrange(1, 9)) for _ in range(120)]
+    want = []
+    for k in sorted({x[:2] for x in rows}):
+        for a, b in sorted(x[2:] for x in rows if x[:2] == k):
+            if want and want[-1][:2] == k and a <= want[-1][3]:
+                want[-1] = (*k, want[-1][2], max(b, want[-1][3]))
+            else:
+                want.append((*k, a, b))
+    assert list(map(tuple, repeats._joined(np.array(rows)).tolist())) == want
+    assert repeats._joined(np.zeros((0, 3), np.int64)).shape == (0, 3)
+
+
 def test_repeats_of_empty_table(spark):
     assert repeats.dedup(brute.frame(spark, [])).collect() == []
 
