@@ -160,7 +160,9 @@ def test_rows_of_null_or_one_id_lose_their_own_lines(spark):
     assert sum(r.n_removed for r in lines.marked(docs).collect()) == 1
 
 
-def test_lines_that_resemble_only_one_of_a_family(spark):
+@pytest.mark.parametrize("few", [lines.FEW, 2])
+def test_lines_that_resemble_only_one_of_a_family(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)
     base = [f"word{i:03d}" for i in range(60)]
 
     def changed(words, at, n, name):
