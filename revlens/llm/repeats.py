@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from revlens.llm.common import cut, documents
 
 LEAST = 50
-ANCHOR = 24
+ANCHOR = 36
 BLOCK = 4 << 20
 HOT = 64
 SLICE = 1 << 20
