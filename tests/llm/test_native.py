@@ -188,7 +188,7 @@ def test_prefixes_lose_no_similar_pair_and_spare_the_others(spark):
         texts.add(" ".join(line))
     texts = sorted(texts)
     table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
-    sets = table.withColumn("n", F.size(F.array_distinct(lines.shingles(F.lower("line")))))
+    sets = table.withColumn("n", F.size(F.array_distinct(lines.shingles(F.col("line")))))
     prefix = lines._prefixes(sets, table.select("id"), 0.8).select("id", "s")
     met = {(x.id, x.a) for x in prefix.join(prefix.withColumnRenamed("id", "a"), "s").where("id < a").select("id", "a").distinct().collect()}
     sets = [brute.line_shingles(t) for t in texts]
