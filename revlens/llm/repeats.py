@@ -40,13 +40,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm.common import cut, documents
 
 LEAST = 50
-ANCHOR = 36
+ANCHOR = 24
 BLOCK = 4 << 20
 HOT = 64
 SLICE = 1 << 20
@@ -205,9 +206,19 @@ def _joined(runs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Rows of numbers, compressed column by column."""
+    return zstandard.compress(np.ascontiguousarray(numbers.T).tobytes())
+
+
+def _unpacked(data: bytes, dtype: type, columns: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype).reshape(columns, -1).T
+
+
 def _block_segments(part: pd.DataFrame, back: pd.DataFrame, shards: int) -> pd.DataFrame:
     """Per shard the block's segments: their bytes, numbers (part, length, smallest and largest
-    document, places), places (document index, offset) and the places' documents.
+    document, places), places (document index, offset) and the places' documents, all compressed:
+    segments overlap by ``LEAST - 1`` bytes, and their numbers are small.
 
     A segment repeats as a whole for all but its smallest document in the block: those spans
     are sent along, joined, in a row of their own with the block's own negative shard.
@@ -228,7 +239,8 @@ def _block_segments(part: pd.DataFrame, back: pd.DataFrame, shards: int) -> pd.D
         numbers = np.array([x[:5] for x in found], np.int64)
         places = np.array([p for x in found for p in x[6]], np.int32)
         docs = np.array([d for x in found for d in x[7]], np.int64)
-        rows.append((shard, block, b"".join([x[5] for x in found]), numbers.tobytes(), places.tobytes(), docs.tobytes()))
+        raw = zstandard.compress(b"".join([x[5] for x in found]))
+        rows.append((shard, block, raw, _packed(numbers), _packed(places), _packed(docs)))
     own = _joined(np.array(own, np.int64).reshape(-1, 3)).astype(np.int32)
     rows.append((-1 - block, block, b"", b"", own.tobytes(), b""))
     return pd.DataFrame(rows, columns=["shard", "block", "raw", "numbers", "places", "docs"])
@@ -320,9 +332,9 @@ def _shard_spans(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": part["block"], "spans": part["places"]})
     blobs = []
     for b, raw, x, places, docs in zip(part["block"], part["raw"], part["numbers"], part["places"], part["docs"]):
-        x = np.frombuffer(x, np.int64).reshape(-1, 5)
+        x = _unpacked(x, np.int64, 5)
         ends = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(x[:, [1, 4]], axis=0)])
-        blobs.append((b, raw, x, np.frombuffer(places, np.int32).reshape(-1, 2), np.frombuffer(docs, np.int64), ends))
+        blobs.append((b, zstandard.decompress(raw), x, _unpacked(places, np.int32, 2), _unpacked(docs, np.int64, 1)[:, 0], ends))
     out = [np.zeros((0, 4), np.int64)]
     for turn in range(PARTS):
         texts, blocks, numbers, places, docs = [], [], [], [], []
