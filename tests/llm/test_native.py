@@ -195,6 +195,13 @@ def test_prefixes_lose_no_similar_pair_and_spare_the_others(spark):
     like = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])}
     touching = sum(bool(sets[i] & sets[j]) for j in range(len(sets)) for i in range(j))
     assert len(like) > 50 and like <= met and len(met) < touching / 3
+    # the meetings left to the exact check, every line in one bucket and some in a second and third: no similar pair is lost
+    buckets = table.selectExpr("id", "explode(array(0, if(id % 2 = 0, 1, 0), if(id % 3 = 0, 2, 0))) AS band").distinct()
+    sizes = table.withColumn("n", F.size(F.array_distinct(lines.shingles(F.col("line")))))
+    roots, compared = spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "id long, a long")
+    pairs, _ = lines._unjoined(buckets, roots, compared, sizes, 0.8)
+    pairs = [(x.id, x.a) for x in pairs.collect()]
+    assert len(pairs) == len(set(pairs)) and like <= set(pairs) and len(pairs) < len(met)
 
 
 def test_fingerprints_equal_brute_force(spark, rows):
