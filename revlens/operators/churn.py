@@ -4,7 +4,8 @@ A customer-month is *churned* when the customer's next active month is
 missing or later than the following calendar month; a returning customer is
 counted as churned at each gap.  ``period`` (month/quarter/year) and ``gap``
 (how many periods may pass before it counts) generalise the rule; the
-defaults are the reference's.  The last month of the data is therefore
+rates and cohorts also take an ``entity`` column other than the customer
+(rows where it is NULL count as one entity). The defaults are the reference's.  The last month of the data is therefore
 always 100 % churned (right-censored); pass ``exclude_last=True`` to drop it.
 
 Per-customer work runs either on a customer's sorted set of active months
@@ -63,37 +64,39 @@ def churn_status(C: DataFrame, exclude_last: bool = False, period: str = "month"
     return pg_order(flagged, "customer_id", cur)
 
 
-def _active_months(C: DataFrame, period: str = "month") -> DataFrame:
-    """customer_id -> ascending array of its distinct active periods (months by default).
+def _active_months(C: DataFrame, period: str = "month", entity: str = "customer_id") -> DataFrame:
+    """entity -> ascending array of its distinct active periods (months by default).
 
     One shuffle by customer; sets are merged map-side and bounded by the
     calendar (one entry per period), however many sales a customer has.
     """
     col = f"order_{period}"
-    return _period_col(C, period).groupBy("customer_id").agg(F.array_sort(F.collect_set(col)).alias("_months"))
+    return _period_col(C, period).groupBy(entity).agg(F.array_sort(F.collect_set(col)).alias("_months"))
 
 
-def _months_with_next(C: DataFrame, period: str = "month") -> DataFrame:
-    """One row per (customer_id, period) with the customer's next active period (LEAD without a window)."""
+def _months_with_next(C: DataFrame, period: str = "month", entity: str = "customer_id") -> DataFrame:
+    """One row per (entity, period) with the entity's next active period (LEAD without a window)."""
     months = F.col("_months")
     pairs = F.transform(
         months, lambda m, i: F.struct(m.alias(period), F.try_element_at(months, i + 2).alias("next_active_month"))
     )
-    return _active_months(C, period).select("customer_id", F.inline(pairs))
+    return _active_months(C, period, entity).select(entity, F.inline(pairs))
 
 
-def _grain_with_next(C: DataFrame, period: str = "month", gap: int = 1) -> DataFrame:
+def _grain_with_next(C: DataFrame, period: str = "month", gap: int = 1, entity: str = "customer_id") -> DataFrame:
     """customer-period grain + next active period + churned flag (0/1)."""
     col = f"order_{period}"
-    g = customer_period(C, period)
-    w = Window.partitionBy("customer_id").orderBy(F.col(col).asc_nulls_last())
+    g = customer_period(C, period, entity)
+    w = Window.partitionBy(entity).orderBy(F.col(col).asc_nulls_last())
     g = g.withColumn("next_active_month", F.lead(col, 1).over(w))
     return g.withColumn(
         "churned", F.when(_gap_after(F.col(col), F.col("next_active_month"), period, gap), 1).otherwise(0)
     )
 
 
-def monthly_churn(C: DataFrame, exclude_last: bool = False, period: str = "month", gap: int = 1) -> DataFrame:
+def monthly_churn(
+    C: DataFrame, exclude_last: bool = False, period: str = "month", gap: int = 1, entity: str = "customer_id"
+) -> DataFrame:
     """<period>, active, churned, retained customers and churn / retention rates (2 dp).
 
     The rate divides by customers active *in* the month (the reference's
@@ -101,7 +104,7 @@ def monthly_churn(C: DataFrame, exclude_last: bool = False, period: str = "month
     quarter / year counts a customer as churned when the next active period
     is not the following one.
     """
-    g = _months_with_next(C, period)
+    g = _months_with_next(C, period, entity)
     churned = F.when(_gap_after(F.col(period), F.col("next_active_month"), period, gap), 1).otherwise(0)
     m = g.groupBy(period).agg(
         F.count(F.lit(1)).alias("total_active_customers"), F.sum(churned).alias("churned_customers")
@@ -158,7 +161,7 @@ def churned_revenue_list(
     return pg_order(_drop_last(out, C, period, cur, exclude_last), cur, f"-last_{period}_revenue")
 
 
-def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month") -> DataFrame:
+def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month", entity: str = "customer_id") -> DataFrame:
     """cohort_month, original_cohort_size, months_since_join, active_customers, retention_pct.
 
     Cohort = first active month, read off each customer's sorted month set
@@ -168,7 +171,7 @@ def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month") -> Da
     one row per month per cohort) instead of a join.
     """
     cohort, age = f"cohort_{period}", f"{period}s_since_join"
-    g = _active_months(C, period).select(
+    g = _active_months(C, period, entity).select(
         F.array_min("_months").alias(cohort), F.explode("_months").alias("_at")
     )
     g = g.withColumn(age, (months_apart("_at", cohort) / PERIODS[period][1]).cast("int"))
@@ -185,9 +188,11 @@ def cohort_retention(C: DataFrame, digits: int = 1, period: str = "month") -> Da
     return pg_order(out, cohort, age)
 
 
-def revenue_churn(C: DataFrame, period: str = "month", gap: int = 1, exclude_last: bool = False) -> DataFrame:
+def revenue_churn(
+    C: DataFrame, period: str = "month", gap: int = 1, exclude_last: bool = False, entity: str = "customer_id"
+) -> DataFrame:
     """<period>, total_mrr, churned_mrr (NULL when nobody churned), revenue_churn_rate_pct."""
-    g = _grain_with_next(C, period, gap)
+    g = _grain_with_next(C, period, gap, entity)
     m = g.groupBy(F.col(f"order_{period}").alias(period)).agg(
         F.sum(F.when(F.col("churned") == 1, F.col("revenue"))).alias("_churned"),
         F.sum("revenue").alias("_total"),

@@ -41,10 +41,10 @@ def customer_month(C: DataFrame) -> DataFrame:
     return C.groupBy("customer_id", "order_month").agg(F.sum("sales").alias("revenue"))
 
 
-def customer_period(C: DataFrame, period: str = "month") -> DataFrame:
-    """(customer_id, order_<period>) -> revenue: the customer-month grain for any period."""
+def customer_period(C: DataFrame, period: str = "month", entity: str = "customer_id") -> DataFrame:
+    """(customer_id, order_<period>) -> revenue: the customer-month grain for any period (or another ``entity``'s)."""
     col = f"order_{period}"
-    return _period_col(C, period).groupBy("customer_id", col).agg(F.sum("sales").alias("revenue"))
+    return _period_col(C, period).groupBy(entity, col).agg(F.sum("sales").alias("revenue"))
 
 
 def monthly_totals(C: DataFrame, period: str = "month") -> DataFrame:

@@ -123,3 +123,18 @@ def test_d1_null_name_sorts_last_like_the_window(spark):
     want = {(r.customer_id, r.customer, r.order_month): r.n for r in ref.collect()}
     assert got == want
     assert got[("C1", "Acme", dt.date(2023, 1, 1))] == dt.date(2023, 1, 1)  # NULL name sorts after 'Acme'
+
+
+def test_churn_and_cohorts_of_another_entity(spark):
+    raw = _raw(spark, [
+        ("2023-01-05", "a", "c1", "East", "p", "10.00", "0"), ("2023-02-05", "b", "c2", "East", "p", "20.00", "0"),
+        ("2023-01-09", "d", "c3", "West", "p", "30.00", "0"), ("2023-03-09", "d", "c3", "West", "p", "40.00", "0"),
+    ])
+    C = ops.clean(raw)
+    jan, feb, mar = (dt.date(2023, m, 1) for m in (1, 2, 3))
+    found = {r.month: (r.total_active_customers, r.churned_customers) for r in ops.monthly_churn(C, entity="region").collect()}
+    assert found == {jan: (2, 1), feb: (1, 1), mar: (1, 1)}  # East goes on in February with another customer
+    lost = {r.month: r.churned_mrr for r in ops.revenue_churn(C, entity="region").collect()}
+    assert lost == {jan: D("30.00"), feb: D("20.00"), mar: D("40.00")}
+    ages = {(r.cohort_month, r.months_since_join): r.active_customers for r in ops.cohort_retention(C, entity="region").collect()}
+    assert ages == {(jan, 0): 2, (jan, 1): 1, (jan, 2): 1}
