@@ -38,12 +38,17 @@ def _files(spark: SparkSession, source: str) -> list[str]:
     return sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source).inputFiles())
 
 
+def _rows(spark: SparkSession, parts: list[str], buckets: int) -> DataFrame:
+    """The merged parts, dealt by customer: the only exchange, as the sums' keys begin with the customer."""
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in parts])
+    return grain_of(rows.repartition(buckets, "customer_id"))
+
+
 def _merged(spark: SparkSession, parts: list[str], path: str) -> int:
     """Write the merged parts to ``path``, bucketed; return the number of buckets."""
-    rows = reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in parts])
     held = sum(versions._fs(spark, p)[0].getContentSummary(versions._fs(spark, p)[1]).getLength() for p in parts)
     buckets = max(spark.sparkContext.defaultParallelism, math.ceil(held / BUCKET_BYTES))
-    rows = grain_of(rows).repartition(buckets, "customer_id")
+    rows = _rows(spark, parts, buckets)
     name = f"revlens_grain_{uuid.uuid4().hex}"
     out = rows.write.bucketBy(buckets, "customer_id").sortBy("customer_id", "order_month")
     out.option("path", path).format("parquet").saveAsTable(name)

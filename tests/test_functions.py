@@ -1,9 +1,10 @@
+import itertools
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.functions import month_label, months_apart, pg_initcap, quarter_label, round_ratio
+from revlens.functions import month_label, months_apart, pg_initcap, quarter_label, round_ratio, text
 
 
 @pytest.mark.parametrize(
@@ -29,6 +30,25 @@ def test_pg_initcap(spark, raw, expected):
     assert df.select(pg_initcap("x").alias("y")).first().y == expected
 
 
+def test_pg_initcap_cuts_only_text_that_sparks_initcap_may_cap_otherwise(spark, monkeypatch):
+    df = spark.createDataFrame([("AMERICA / UNITED STATES",), ("customer#000000048",), ("7up a1b",), ("SMB.",)], "x string")
+    cut = spark.createDataFrame([("mid-market",), ("élan",), ("a -b",), ("x\ty",)], "x string")
+    monkeypatch.setattr(text, "_capped_runs", lambda c: F.raise_error(c).cast("string"))
+    plain = [r.y for r in df.select(pg_initcap("x").alias("y")).collect()]
+    assert plain == ["America / United States", "Customer#000000048", "7up A1b", "Smb."]
+    for (x,) in cut.collect():
+        with pytest.raises(Exception, match=x.split()[0]):
+            cut.where(F.col("x") == x).select(pg_initcap("x")).collect()
+
+
+def test_pg_initcap_is_the_same_by_both_paths(spark):
+    letters = "aZ1 -#/\t\n_é"
+    words = [("".join(w),) for n in range(4) for w in itertools.product(letters, repeat=n)]
+    df = spark.createDataFrame(words, "x string")
+    both = df.select("x", pg_initcap("x").alias("y"), text._capped_runs(F.col("x")).alias("z"))
+    assert both.where(~F.col("y").eqNullSafe(F.col("z"))).collect() == []
+
+
 def _ratio(spark, num, den, digits=2, mult=1):
     df = spark.createDataFrame([(Decimal(num) if num is not None else None, den)], "n decimal(22,2), d long")
     return df.select(round_ratio("n", "d", digits, mult).alias("r")).first().r

@@ -152,6 +152,20 @@ def test_only_new_files_are_read(spark, tmp_path):
     assert len(_folders(root)) == 2 and grain.grain(spark, root).count() == 3
 
 
+def test_parts_are_merged_by_one_exchange(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    row = lambda c, name, sales: (c, name, "Smb", "Asia", day, Decimal(sales))
+    columns = "customer_id string, customer string, segment string, region string, order_month date, sales decimal(12,2)"
+    parts = []
+    for k, rows in enumerate([[row("C1", "A", "1"), row("C2", "B", "2"), row(None, None, "5")], [row("C1", "A", "3"), row("C1", "Z", "4"), row(None, None, "6")]]):
+        parts.append(str(tmp_path / f"p{k}"))
+        grain.grain_of(spark.createDataFrame(rows, columns)).write.parquet(parts[-1])
+    merged = grain._rows(spark, parts, 3)
+    assert _plan(merged).count("Exchange hashpartitioning") == 1
+    got = {(r.customer_id, r.customer): r.sales for r in merged.collect()}
+    assert got == {("C1", "A"): 4, ("C1", "Z"): 4, ("C2", "B"): 2, (None, None): 11} and merged.count() == 4
+
+
 def test_grain_of_no_sales(spark, tmp_path):
     source, root = str(tmp_path / "clean"), str(tmp_path / "grain")
     _sales(spark, []).write.parquet(source)
