@@ -3,11 +3,12 @@
 A byte is removed if it lies in a ``LEAST``-byte string that also starts in a document with
 a smaller ``doc_id``. No suffix array of the whole corpus is needed for that:
 
-1. Texts are dealt row by row into blocks (a bucketed table, written once; the later
-   passes read it without a shuffle; dropped when the result is written). Every ``LEAST``-byte window has an anchor, its
+1. Texts are dealt row by row into blocks (a bucketed table, written once and, as a block holds
+   rows of one input partition, without a shuffle; the later passes read it without one too;
+   dropped when the result is written). Every ``LEAST``-byte window has an anchor, its
    ``ANCHOR``-byte string of smallest hash; neighbouring windows mostly share one. Blocks
-   send their distinct anchors (4 bytes each) to anchor shards, which return those that lie
-   in more than one document.
+   send their distinct anchors (4 bytes each, with the number of runs where a block has
+   several) to anchor shards, which return those that lie in more than one document.
 2. Runs of windows with a returned anchor are cut out as segments, one per distinct string
    and block with its smallest doc_id, and sent to the shard of their anchor. Equal windows
    have equal anchors, so all occurrences of a window meet in one shard.
@@ -21,10 +22,11 @@ a smaller ``doc_id``. No suffix array of the whole corpus is needed for that:
 
 Bounds: blocks hold about ``BLOCK`` bytes of text and shards what as much text gives,
 whatever the corpus: their numbers grow with it. A passage that a third of all documents
-share counts once per block. Anchors that ``HOT`` blocks or more share (a common phrase
-with ever different text around it) have their windows sent one by one to shards of the
-window's own hash, so they do not gather in the anchor's shard. A document is the smallest
-unit, read in slices when long.
+share counts once per block. Anchors of ``HOT`` runs or more (a common phrase with ever
+different text around it) have their windows sent one by one to shards of the window's own
+hash, so they do not gather in the anchor's shard. That takes some ten times the room, so
+the bound is a share of what a shard holds, not a number of blocks, which a larger corpus
+reaches with ever more anchors. A document is the smallest unit, read in slices when long.
 
 Defined cases: null text is empty; texts below ``LEAST`` bytes keep all; null ``doc_id``
 comes after all others (and removes nothing from other null ones); rows with equal
@@ -40,7 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +54,10 @@ from revlens.llm.common import cut, documents
 LEAST = 50
 ANCHOR = 24
 BLOCK = 4 << 20
-HOT = 64
+#: Runs of windows that may meet in the shard of one anchor; a shard holds some 10^5 in all.
+HOT = 1 << 14
+#: Runs of one anchor in a block from which on they are counted, whatever their documents.
+OFTEN = 16
 SLICE = 1 << 20
 #: Windows of a segment, at most.
 RUN = 64
@@ -113,39 +121,43 @@ def _key(anchors: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _block_anchors(part: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """Per shard the block's distinct anchors, and those in more than one of its documents."""
+    """Per shard the block's distinct anchors: those of one document, and those of more (or of ``OFTEN``
+    runs) with their numbers of runs."""
     keys, owners = [], []
     for d, data in _texts(part.sort_values("d", kind="stable")):
         for anchors, _, _ in anchor_runs(data):
             keys.append(_key(anchors, shards))
             owners.append(np.full(len(anchors), d))
     if not keys:
-        return pd.DataFrame({"shard": [], "block": [], "one": [], "many": []})
+        return pd.DataFrame({"shard": [], "block": [], "one": [], "many": [], "runs": []})
     k, d = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(k, kind="stable")  # documents stay in order within a key
     k, d = k[order], d[order]
     fresh = np.concatenate([[True], k[1:] != k[:-1]])
     start = np.flatnonzero(fresh)
     end = np.append(start[1:], len(k)) - 1
-    many = d[start] != d[end]
+    runs = (end - start + 1).astype(np.uint32)
+    many = (d[start] != d[end]) | (runs >= OFTEN)
     k = k[start]
     shard = (k >> np.uint64(32)).astype(np.int64)
     rows, low = [], k.astype(np.uint32)
     for s in np.unique(shard):
         i, j = np.searchsorted(shard, [s, s + 1])
-        rows.append((int(s), int(part["block"].iloc[0]), low[i:j][~many[i:j]].tobytes(), low[i:j][many[i:j]].tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "block", "one", "many"])
+        several = many[i:j]
+        found = low[i:j][~several].tobytes(), low[i:j][several].tobytes(), runs[i:j][several].tobytes()
+        rows.append((int(s), int(part["block"].iloc[0]), *found))
+    return pd.DataFrame(rows, columns=["shard", "block", "one", "many", "runs"])
 
 
 def _repeated_anchors(part: pd.DataFrame, hot_from: int) -> pd.DataFrame:
     """What of a shard's anchors goes back to each block: repeated ones, and the hot among them."""
     one = [np.frombuffer(b, np.uint32) for b in part["one"]]
     many = [np.frombuffer(b, np.uint32) for b in part["many"]]
-    value, blocks = np.unique(np.concatenate(one + many), return_counts=True)
-    again = blocks > 1
-    if own := [m for m in many if len(m)]:
-        again |= np.isin(value, np.concatenate(own))
-    value, hot = value[again], blocks[again] >= hot_from
+    counted = [np.ones(sum(map(len, one)), np.int64), *[np.frombuffer(b, np.uint32) for b in part["runs"]]]
+    value, which, blocks = np.unique(np.concatenate(one + many), return_inverse=True, return_counts=True)
+    runs = np.bincount(which, np.concatenate(counted))
+    again = (blocks > 1) | (runs > 1)
+    value, hot = value[again], runs[again] >= hot_from
     rows = []
     for block, a, b in zip(part["block"], one, many):
         own = np.isin(value, np.concatenate([a, b]))
@@ -434,6 +446,15 @@ def _apply(part: pd.DataFrame, spans: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).assign(known=part["known"].to_numpy())
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """The rows of an input partition with their ``block``, of about that many bytes: no text is shuffled for it."""
+    first, filled = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        ends = filled + np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        filled = int(ends[-1]) if len(ends) else filled
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + ends // block)], names=[*batch.schema.names, "block"])
+
+
 def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``with_text``, removed (start and end of each run of bytes) and kept (the bytes left)."""
@@ -449,14 +470,12 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
     shards = max(8, -(-total // block))
     table = f"llm_texts_{uuid.uuid4().hex}"
     # by row, not by document: rows that share a doc_id (or have none) may be a third of all
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
-    dealt.repartition(blocks, "block").write.format("parquet").option("compression", "zstd").bucketBy(
-        blocks, "block"
-    ).saveAsTable(table)
+    dealt = plain.mapInArrow(lambda batches: _dealt(batches, block), "d long, known boolean, text string, block long")
+    dealt.write.format("parquet").option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(table)
     texts = spark.table(table)
 
     sent = texts.groupBy("block").applyInPandas(
-        lambda part: _block_anchors(part, shards), "shard long, block long, one binary, many binary"
+        lambda part: _block_anchors(part, shards), "shard long, block long, one binary, many binary, runs binary"
     )
     back = cut(
         sent.groupBy("shard").applyInPandas(

@@ -6,7 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -61,6 +64,42 @@ def test_runs_are_joined_by_key():
     assert repeats._joined(np.zeros((0, 3), np.int64)).shape == (0, 3)
 
 
+def _anchors_of(blocks):
+    """Rows of one shard, from {block: {anchor: runs}}."""
+    rows = []
+    for block, found in blocks.items():
+        many = {a: n for a, n in found.items() if n > 1}
+        one = [a for a in found if a not in many]
+        rows.append((0, block, *(np.array(x, np.uint32).tobytes() for x in (one, list(many), list(many.values())))))
+    return pd.DataFrame(rows, columns=["shard", "block", "one", "many", "runs"])
+
+
+def test_repeats_hot_anchors_are_told_by_their_runs():
+    # anchor 7 lies once in each of many blocks, anchor 9 very often in two, anchor 5 in one place only
+    part = _anchors_of({b: {7: 1} | ({9: repeats.HOT} if b < 2 else {}) | ({5: 1} if b == 3 else {}) for b in range(300)})
+    back = repeats._repeated_anchors(part, repeats.HOT)
+    seen = lambda col: {(b, int(a)) for b, v in zip(back["block"], back[col]) for a in np.frombuffer(v, np.uint32)}
+    assert seen("value") == {(b, 7) for b in range(300)}
+    assert seen("hot") == {(0, 9), (1, 9)}
+
+
+def test_repeats_dealt_without_a_shuffle(spark, monkeypatch):
+    rows = [(i, f"{i} " * 40, "en", "a", 1) for i in range(400)]
+    seen = {}
+    save = DataFrameWriter.saveAsTable
+
+    def spy(self, name, *args, **options):
+        seen["plan"] = self._df._jdf.queryExecution().executedPlan().toString()
+        save(self, name, *args, **options)
+        seen["blocks"] = spark.table(name).groupBy("block").agg(F.sum(F.octet_length("text"))).collect()
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", spy)
+    got = repeats.dedup(brute.frame(spark, rows), with_text=False, block=5000).collect()
+    assert "hashpartitioning" not in seen["plan"]
+    assert len(seen["blocks"]) >= 10 and max(n for _, n in seen["blocks"]) < 5200
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute.repeats(rows))
+
+
 def test_repeats_of_empty_table(spark):
     assert repeats.dedup(brute.frame(spark, [])).collect() == []
 
