@@ -3,6 +3,8 @@
 A byte is removed if it lies in a ``LEAST``-byte string that also starts in a document with
 a smaller ``doc_id``. No suffix array of the whole corpus is needed for that:
 
+0. A later copy of a whole text loses all its bytes, and its strings are found in the first one
+   anyway: such copies, told by 128 bits of hash, take no part in what follows.
 1. Texts are dealt row by row into blocks (a bucketed table, written once and, as a block holds
    rows of one input partition, without a shuffle; the later passes read it without one too;
    dropped when the result is written). Every ``LEAST``-byte window has an anchor, its
@@ -120,6 +122,12 @@ def _key(anchors: np.ndarray, shards: int) -> np.ndarray:
     return ((anchors % np.uint64(shards)) << np.uint64(32)) | (anchors >> np.uint64(32))
 
 
+def _without_copies(part: pd.DataFrame, copies: pd.DataFrame) -> np.ndarray:
+    """Which rows of a block are no later copy of a whole text."""
+    gone = set(zip(copies["d"], copies["t"], copies["u"]))
+    return np.array([row not in gone for row in zip(part["d"], part["t"], part["u"])], bool)
+
+
 def _block_anchors(part: pd.DataFrame, shards: int) -> pd.DataFrame:
     """Per shard the block's distinct anchors: those of one document, and those of more (or of ``OFTEN``
     runs) with their numbers of runs."""
@@ -166,8 +174,8 @@ def _repeated_anchors(part: pd.DataFrame, hot_from: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "shard", "value", "hot"])
 
 
-def _segments(part: pd.DataFrame, back: pd.DataFrame, shards: int):
-    """The block's distinct segments as {(shard, part, bytes): [places]}; a place is (document index, offset)."""
+def _segments(part: pd.DataFrame, first: np.ndarray, back: pd.DataFrame, shards: int):
+    """The distinct segments of the block's ``first`` rows as {(shard, part, bytes): [places]}; a place is (document index, offset)."""
     wide = lambda col: np.sort(
         np.concatenate(
             [np.zeros(0, np.uint64)]
@@ -184,20 +192,20 @@ def _segments(part: pd.DataFrame, back: pd.DataFrame, shards: int):
         return among[at] == keys if len(among) else np.zeros(len(keys), bool)
 
     found: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
-    for i, (_, data) in enumerate(_texts(part)):
+    for i, (_, data) in zip(np.flatnonzero(first).tolist(), _texts(part[first])):
         raw = data.tobytes()
-        for anchors, first, end in anchor_runs(data):
+        for anchors, begin, end in anchor_runs(data):
             keys = _key(anchors, shards)
             for r in np.flatnonzero(known(keys, value)).tolist():
                 key, last = int(keys[r]), int(end[r])
                 # A periodic text is one long run; whole, its repeats would nest as deep as it is long.
-                for at in range(int(first[r]), last, RUN):
+                for at in range(int(begin[r]), last, RUN):
                     piece = raw[at : min(at + RUN, last) + LEAST - 1]
                     found.setdefault((key >> 32, key % PARTS, piece), []).append((i, at))
             runs = np.flatnonzero(known(keys, hot))
             if len(runs):
                 for r in runs.tolist():
-                    a, b = int(first[r]), int(end[r])
+                    a, b = int(begin[r]), int(end[r])
                     to = _key(window_hashes(data[a : b + LEAST - 1], LEAST), shards).tolist()
                     for at, key in zip(range(a, b), to):
                         found.setdefault((key >> 32, key % PARTS, raw[at : at + LEAST]), []).append((i, at))
@@ -233,13 +241,15 @@ def _block_segments(part: pd.DataFrame, back: pd.DataFrame, shards: int) -> pd.D
     segments overlap by ``LEAST - 1`` bytes, and their numbers are small.
 
     A segment repeats as a whole for all but its smallest document in the block: those spans
-    are sent along, joined, in a row of their own with the block's own negative shard.
+    are sent along, joined, in a row of their own with the block's own negative shard, and
+    so are the later copies of whole texts, which ``back`` holds under shard -1.
     """
     ids = part["d"].to_numpy()
     block = int(part["block"].iloc[0])
     by: dict[int, list] = {}
-    own = []
-    for (shard, turn, raw), places in _segments(part, back, shards).items():
+    first = _without_copies(part, back[back["shard"] < 0])
+    own = [(i, 0, len(part["text"].iloc[i].encode("utf-8", "replace"))) for i in np.flatnonzero(~first).tolist()]
+    for (shard, turn, raw), places in _segments(part, first, back[back["shard"] >= 0], shards).items():
         docs = [ids[i] for i, _ in places]
         lo, hi = min(docs), max(docs)
         by.setdefault(shard, []).append((turn, len(raw), lo, hi, len(places), raw, places, docs))
@@ -464,18 +474,21 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
         F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("d"),
         F.col("doc_id").isNotNull().alias("known"),
         F.coalesce("text", F.lit("")).alias("text"),
-    )
+    ).withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(7), "text")})
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
     shards = max(8, -(-total // block))
     table = f"llm_texts_{uuid.uuid4().hex}"
     # by row, not by document: rows that share a doc_id (or have none) may be a third of all
-    dealt = plain.mapInArrow(lambda batches: _dealt(batches, block), "d long, known boolean, text string, block long")
+    dealt = plain.mapInArrow(lambda batches: _dealt(batches, block), "d long, known boolean, text string, t long, u long, block long")
     dealt.write.format("parquet").option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(table)
     texts = spark.table(table)
 
-    sent = texts.groupBy("block").applyInPandas(
-        lambda part: _block_anchors(part, shards), "shard long, block long, one binary, many binary, runs binary"
+    keys = texts.where(F.octet_length("text") >= LEAST).select("block", "d", "t", "u")
+    firsts = keys.groupBy("t", "u").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
+    copies = cut(keys.join(firsts, ["t", "u"]).where("d > first").select("block", "d", "t", "u"), "repeats-copies")
+    sent = texts.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(
+        lambda part, copied: _block_anchors(part[_without_copies(part, copied)], shards), "shard long, block long, one binary, many binary, runs binary"
     )
     back = cut(
         sent.groupBy("shard").applyInPandas(
@@ -483,9 +496,12 @@ def dedup(docs: DataFrame, with_text: bool = True, block: int = BLOCK, hot: int
         ),
         "repeats-anchors",
     )
+    returned = back.select("*", *[F.lit(0).cast("long").alias(c) for c in ("d", "t", "u")]).unionByName(
+        copies.select("*", F.lit(-1).cast("long").alias("shard"), *[F.lit(b"").alias(c) for c in ("value", "hot")])
+    )
     cutouts = (
         texts.groupBy("block")
-        .cogroup(back.groupBy("block"))
+        .cogroup(returned.groupBy("block"))
         .applyInPandas(
             lambda part, returned: _block_segments(_ordered(part), returned, shards) if len(part) and len(returned) else _NO_SEGMENTS,
             "shard long, block long, raw binary, numbers binary, places binary, docs binary",

@@ -100,6 +100,24 @@ def test_repeats_dealt_without_a_shuffle(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute.repeats(rows))
 
 
+def test_repeats_of_whole_copies_take_no_part(spark, monkeypatch):
+    texts = ["".join(random.Random(i).choices("abcdefghijklmnop é", k=300)) for i in range(6)] + ["short"]
+    ids = [*range(60), 7, None, None]
+    rows = [(d, texts[i % 7], "en", "a", 1) for i, d in enumerate(ids)]
+    tables = {}
+    cut = repeats.cut
+
+    def spy(df, name):
+        tables[name] = cut(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(repeats, "cut", spy)
+    got = repeats.dedup(brute.frame(spark, rows), with_text=True, block=2000).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute.repeats(rows))
+    assert tables["repeats-anchors"].count() == 0
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
+
+
 def test_repeats_of_empty_table(spark):
     assert repeats.dedup(brute.frame(spark, [])).collect() == []
 
