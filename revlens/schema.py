@@ -41,6 +41,13 @@ RAW_SCHEMA = StructType(
 
 RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
 
+#: Parquet writer options of stored sales rows: no dictionaries for values that rarely repeat in a file,
+#: which would be hashed one by one until the dictionary is full and then written plainly all the same.
+PARQUET_OPTIONS = {
+    f"parquet.enable.dictionary#{c}": "false"
+    for c in ("row_id", "order_id", "contact_name", "customer", "customer_id", "sales", "profit")
+}
+
 # Declared VARCHAR(n) limits of the source table, checked by sources.load_table.
 VARCHAR_LIMITS = {
     "order_id": 50,

@@ -31,6 +31,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from revlens.schema import RAW_SCHEMA
 
@@ -43,8 +44,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def star_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lazy star join producing the 19 raw ``saas_sales`` columns (RAW_SCHEMA)."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+    li = _with_money(read_table(spark, sf_dir, "lineitem")).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", *_MONEY,
         "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus",
     )
     orders = read_table(spark, sf_dir, "orders").select(
@@ -74,6 +75,50 @@ def star_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.select(*_mapping())
 
 
+#: Amounts of a line as :func:`_with_money` finds them.
+_MONEY = ("l_sales", "l_profit", "l_rate")
+
+
+def _with_money(li: DataFrame) -> DataFrame:
+    """Lines with their signed sales and profit and their discount, in whole cents and hundredths.
+
+    The mapping's decimal rules in integers, which cost a fraction of decimal arithmetic, for lines
+    whose price and discount are doubles next to a number of cents and hundredths; bounds keep all
+    results inside their types. Such lines carry no price, discount and flag to the mapping any
+    more; of all others the amounts are NULL, and the mapping works them out as decimals.
+    """
+    if any(not isinstance(li.schema[c].dataType, DoubleType) for c in ("l_extendedprice", "l_discount")):
+        return li.withColumns({c: F.lit(None).cast("decimal(12,2)") for c in _MONEY})
+    cents, rate = (F.rint(F.col(c) * 100) for c in ("l_extendedprice", "l_discount"))
+    out = li.withColumns({"__cents": cents, "__rate": rate})
+    # the bounds exclude NaN, which Spark orders last
+    exact = (F.abs("l_extendedprice") < 1e8) & (F.col("__cents") / 100 == F.col("l_extendedprice"))
+    exact = exact & (F.abs("l_discount") < 1.99) & (F.col("__rate") / 100 == F.col("l_discount"))
+    out = out.withColumn("__exact", F.coalesce(exact, F.lit(False)))
+    out = out.withColumns({c: F.when(F.col("__exact"), F.col(c).cast("long")) for c in ("__cents", "__rate")})
+    out = out.withColumn("__net", _half_up(F.col("__cents") * (10000 - F.col("__rate") * 500), 10000))
+    out = out.withColumn("__margin", _half_up(F.col("__net") * 100 - F.col("__cents") * 75, 100))
+    sign = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), -1).otherwise(1)
+
+    def shifted(whole, type_):
+        return (whole.cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast(type_)
+
+    return out.withColumns(
+        {
+            "l_sales": shifted(F.col("__net") * sign, "decimal(12,2)"),
+            "l_profit": shifted(F.col("__margin") * sign, "decimal(12,2)"),
+            "l_rate": shifted(F.col("__rate") * 5, "decimal(5,4)"),
+            **{c: F.when(~F.col("__exact"), F.col(c)) for c in ("l_extendedprice", "l_discount", "l_returnflag")},
+        }
+    )
+
+
+def _half_up(x, unit: int):
+    """``x`` in ``unit``s, rounded half away from zero (``div`` cuts towards zero)."""
+    half = F.when(x < 0, -(unit // 2)).otherwise(unit // 2)
+    return F.call_function("div", x + half, F.lit(unit))
+
+
 def _mapping():
     messy = F.col("o_orderpriority") == "5-LOW"
     custkey = F.col("c_custkey").cast("string")
@@ -84,8 +129,9 @@ def _mapping():
     refund = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     uninvoiced = (F.col("o_orderstatus") == "P") & (F.col("l_linestatus") == "O")
 
-    def signed(x):
-        return F.when(uninvoiced, F.lit(None)).when(refund, -x).otherwise(x).cast("decimal(12,2)")
+    def signed(known, x):
+        x = F.when(refund, -x).otherwise(x)
+        return F.when(uninvoiced, F.lit(None)).when(known.isNotNull(), known).otherwise(x.cast("decimal(12,2)"))
 
     def untidy(clean_value, messy_value):
         return F.when(messy, messy_value).otherwise(clean_value)
@@ -113,9 +159,9 @@ def _mapping():
         "segment": untidy(segment, F.lower(segment)),
         "product": untidy(product, F.upper(product)),
         "license": F.concat(F.lit("LIC-"), F.col("l_suppkey").cast("string")),
-        "sales": signed(net),
+        "sales": signed(F.col("l_sales"), net),
         "quantity": F.col("l_quantity").cast("int"),
-        "discount": discount,
-        "profit": signed(margin),
+        "discount": F.coalesce(F.col("l_rate"), discount),
+        "profit": signed(F.col("l_profit"), margin),
     }
     return [cols[f.name].cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]

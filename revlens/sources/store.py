@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.schema import RAW_SCHEMA
+from revlens.schema import PARQUET_OPTIONS, RAW_SCHEMA
 from revlens.session import checkpoint_dir, session_key
 from revlens.sources import grain, versions
 from revlens.sources.star import STAR_TABLES, star_sales
@@ -67,7 +67,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> str:
         path = _TABLES.get(key)
         if path is None:
             root = _root(spark, sf_dir, name)
-            path = versions.find(spark, root, key[-1]) or versions.replace(make(), root, key[-1])
+            path = versions.find(spark, root, key[-1]) or versions.replace(make(), root, key[-1], **PARQUET_OPTIONS)
             _TABLES[key] = path
     return path
 

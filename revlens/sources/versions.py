@@ -79,10 +79,12 @@ def publish(spark: SparkSession, root: str, manifest: dict) -> dict:
     return manifest | {"number": number}
 
 
-def replace(df: DataFrame, root: str, source: str) -> str:
-    """Write ``df`` as a new version of the table at ``root`` and switch to it; return the version's folder."""
+def replace(df: DataFrame, root: str, source: str, **options: str) -> str:
+    """Write ``df`` as a new version of the table at ``root`` and switch to it; return the version's folder.
+
+    ``options`` are those of the Parquet writer."""
     path = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     publish(df.sparkSession, root, {"path": path, "source": source})
     return path
 
