@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from revlens.schema import RAW_SCHEMA, VARCHAR_LIMITS
+from revlens.schema import PARQUET_OPTIONS, RAW_SCHEMA, VARCHAR_LIMITS
 
 CORRUPT_COLUMN = "_corrupt_record"
 
@@ -65,7 +65,9 @@ def _within(name: str, limit: int) -> Column:
     c = F.col(name)
     message = F.concat(F.lit(f"value too long for {name} VARCHAR({limit}): "), F.left(c, F.lit(limit)))
     too_long = F.when(F.length(F.rtrim(c)) > limit, F.raise_error(message).cast("string"))
-    return F.when(F.length(c) > limit, F.coalesce(too_long, F.left(c, F.lit(limit)))).otherwise(c).alias(name)
+    # text of no more bytes has no more characters: only the rest is counted through
+    over = (F.octet_length(c) > limit) & (F.length(c) > limit)
+    return F.when(over, F.coalesce(too_long, F.left(c, F.lit(limit)))).otherwise(c).alias(name)
 
 
 def load_table(
@@ -104,7 +106,7 @@ def save_raw(raw: DataFrame, target: str, mode: str = "overwrite") -> None:
 
     ``target`` is a path (contains '/' or a URI scheme) or a catalog table name.
     """
-    w = raw.select(*[F.col(f.name).cast(f.dataType) for f in RAW_SCHEMA.fields]).write.mode(mode).format("parquet")
+    w = raw.select(*[F.col(f.name).cast(f.dataType) for f in RAW_SCHEMA.fields]).write.mode(mode).format("parquet").options(**PARQUET_OPTIONS)
     if "/" in target or ":" in target:
         w.save(target)
     else:
