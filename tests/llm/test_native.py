@@ -204,6 +204,51 @@ def test_prefixes_lose_no_similar_pair_and_spare_the_others(spark):
     assert len(pairs) == len(set(pairs)) and like <= set(pairs) and len(pairs) < len(met)
 
 
+def test_lines_run_no_python(spark, rows, monkeypatch):
+    frame = type(spark.range(0))
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.delattr(frame, name)
+    assert lines.marked(brute.frame(spark, rows[:20])).count() == 20
+
+
+def test_sketches_differ_by_no_more_than_the_shingles(spark):
+    r = random.Random(8)
+    base = "".join(r.choices("abcdefgh ", k=400))
+    texts = ["x", "short é", "ab" * 300, base, *[base[:i] + "changed" + base[i + 7 :] for i in range(0, 400, 20)], base[::-1], base[:200]]
+    got = {x.id: x for x in lines.sketches(spark.createDataFrame(list(enumerate(texts)), "id long, line string")).collect()}
+    sets = [brute.line_shingles(t) for t in texts]
+    assert [got[i].n for i in range(len(texts))] == [len(x) for x in sets]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            differ = sum(((got[i][w] ^ got[j][w]) & (1 << 64) - 1).bit_count() for w in lines.SKETCH)
+            assert differ <= len(x ^ y) and differ % 2 == len(x ^ y) % 2
+            assert bool(differ) == (x != y)
+
+
+@pytest.mark.parametrize("few", [lines.FEW, 2])
+def test_pairs_of_a_bucket_that_are_not_quite_similar_do_not_meet(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)
+    r = random.Random(9)
+    base = ["".join(r.choices("abcdefghij", k=6)) for _ in range(40)]
+    texts = []
+    for i in range(140):  # each lacks four words of the base and has others that a third of the lines share
+        line = list(base)
+        for at in r.sample(range(40), 4):
+            line[at] = f"other{i % 3}{at}"
+        texts.append(" ".join(line))
+    texts = sorted(set(texts))
+    sets = [brute.line_shingles(t) for t in texts]
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(sets)) for i in range(j)}
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sizes = table.withColumn("n", F.size(F.array_distinct(lines.shingles(F.col("line")))))
+    roots, compared = spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "id long, a long")
+    pairs, _ = lines._unjoined(table.selectExpr("id", "0L AS band"), roots, compared, sizes, 0.8)
+    pairs = {(x.id, x.a) for x in pairs.collect()}
+    similar = {p for p, x in like.items() if x >= 0.8}
+    near = {p for p, x in like.items() if 0.5 <= x < 0.75}
+    assert similar <= pairs and len(near) > 4000 and len(pairs & near) < len(near) / 10
+
+
 def test_fingerprints_equal_brute_force(spark, rows):
     low = -(1 << 63)
     order = sorted(
