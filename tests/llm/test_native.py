@@ -211,6 +211,21 @@ def test_lines_run_no_python(spark, rows, monkeypatch):
     assert lines.marked(brute.frame(spark, rows[:20])).count() == 20
 
 
+def test_bands_equal_plain_minhash(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choices("abcdef é", k=n)) for n in (900, 400, 400)] + ["One short line.", "x", "ab" * 50]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    got = {x.id: x.bands for x in lines.with_bands(table, "id").collect()}
+    for i, text in enumerate(texts):
+        least = {}
+        for h in map(brute._spark_hash, brute.line_shingles(text)):
+            j = (h + (1 << 63)) // lines._WIDTH
+            least[j] = min(h, least.get(j, h))
+        rows = [next((least[o] for o in others if o in least), min(least.values())) for others in lines._OTHERS]
+        keys = [F.xxhash64(F.lit(k), *[F.lit(rows[k + n * lines.BANDS]) for n in range(lines.ROWS)]) for k in range(lines.BANDS)]
+        assert got[i] == list(spark.range(1).select(*keys).first())
+
+
 def test_sketches_differ_by_no_more_than_the_shingles(spark):
     r = random.Random(8)
     base = "".join(r.choices("abcdefgh ", k=400))
