@@ -1,7 +1,10 @@
 """Mixing, quality rules, order MinHash and line dedup against DuckDB or plain Python."""
 
 import hashlib
+import os
 import random
+import re
+import time
 from collections import Counter
 
 import duckdb
@@ -11,6 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.llm import fingerprint, lines, mixing, quality
+from revlens.llm.common import cut
+from revlens.llm.components import components
+from revlens.session import SHUFFLE_CLEANUP, checkpoint_dir, shuffles_deleted
 from tests.llm import brute
 
 
@@ -264,6 +270,32 @@ def test_pairs_of_a_bucket_that_are_not_quite_similar_do_not_meet(spark, monkeyp
     assert similar <= pairs and len(near) > 4000 and len(pairs & near) < len(near) / 10
 
 
+def _shuffles(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return set(re.findall(r"shuffle_(\d+)_", blocks.mkString(" ")))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before, kept = _shuffles(spark), spark.conf.get(SHUFFLE_CLEANUP)
+    with shuffles_deleted(spark):  # one write inside another
+        table = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-groups")
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+    until = time.time() + 10
+    while _shuffles(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not _shuffles(spark) - before
+    assert spark.conf.get(SHUFFLE_CLEANUP) == kept
+    assert sum(x["count"] for x in table.collect()) == 1000
+
+
+def test_components_leave_one_table(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)], "a long, b long")
+    roots = components(edges, "a", "b", "test-one-table")
+    left = os.listdir(checkpoint_dir(spark).removeprefix("file:") + "/llm")
+    assert len([x for x in left if x.startswith("test-one-table")]) == 1
+    assert {x.root for x in roots.collect()} == {0} and roots.count() == 61
+
+
 def test_fingerprints_equal_brute_force(spark, rows):
     low = -(1 << 63)
     order = sorted(
