@@ -296,6 +296,21 @@ def test_components_leave_one_table(spark):
     assert {x.root for x in roots.collect()} == {0} and roots.count() == 61
 
 
+def test_buckets_are_made_a_few_bands_at_a_time(spark, rows, monkeypatch):
+    tables, first = [], lines.cut
+
+    def spy(df, name):
+        out = first(df, name)
+        if name == "lines-buckets":
+            tables.append({r.k for r in out.select("k").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(lines, "cut", spy)
+    lines.removals(brute.frame(spark, rows))
+    assert [k for t in tables for k in sorted(t)] == list(range(lines.BANDS))
+    assert max(map(len, tables)) < lines.BANDS
+
+
 def test_fingerprints_equal_brute_force(spark, rows):
     low = -(1 << 63)
     order = sorted(
