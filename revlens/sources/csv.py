@@ -113,8 +113,11 @@ def save_raw(raw: DataFrame, target: str, mode: str = "overwrite") -> None:
         w.saveAsTable(target)
 
 
-def write_csv(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write sales rows as header CSV in RAW_SCHEMA column order (input for ``load_csv``)."""
+def write_csv(raw: DataFrame, path: str, mode: str = "overwrite", **options: str | int) -> None:
+    """Write sales rows as header CSV in RAW_SCHEMA column order (input for ``load_csv``).
+
+    ``options`` are more of the writer's (compression, say); :func:`load_csv` reads compressed files by their names.
+    """
     # The CSV writer trims text by default; raw text must round-trip untouched (padding is data here).
     (
         raw.select(*RAW_SCHEMA.fieldNames())
@@ -126,5 +129,6 @@ def write_csv(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("emptyValue", '""')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .options(**options)
         .csv(path)
     )

@@ -19,6 +19,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.session import shuffles_deleted
+
 _MANIFESTS = "_manifests"
 
 
@@ -82,9 +84,10 @@ def publish(spark: SparkSession, root: str, manifest: dict) -> dict:
 def replace(df: DataFrame, root: str, source: str, **options: str) -> str:
     """Write ``df`` as a new version of the table at ``root`` and switch to it; return the version's folder.
 
-    ``options`` are those of the Parquet writer."""
+    ``options`` are those of the Parquet writer. Shuffle files of the write are deleted with it."""
     path = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").options(**options).parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.mode("errorifexists").options(**options).parquet(path)
     publish(df.sparkSession, root, {"path": path, "source": source})
     return path
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 import shutil
 import time
 from decimal import Decimal
@@ -49,6 +50,20 @@ def test_replacement_is_one_step(spark, tmp_path):
     assert not os.path.exists(root)
 
 
+def test_a_written_version_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return set(re.findall(r"shuffle_(\d+)_", blocks.mkString(" ")))
+
+    before = shuffles()
+    path = versions.replace(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path / "t"), "a")
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.read.parquet(path).count() == 7
+
+
 def test_a_manifest_number_is_given_once(spark, tmp_path):
     root = str(tmp_path / "t")
     made = [versions.publish(spark, root, {"path": str(i), "source": str(i)})["number"] for i in range(4)]
@@ -103,6 +118,19 @@ def test_a_second_session_writes_nothing(spark, sf_small, tmp_path, monkeypatch)
         store._TABLES.update(saved)
 
 
+def test_csv_export_is_small_and_loads_whole(spark, sf_small, monkeypatch):
+    store.drop_tables(spark, sf_small)
+    fact = store.sales_table(spark, sf_small)
+    monkeypatch.setitem(store.CSV_OPTIONS, "maxRecordsPerFile", 500)  # several files with a header each
+    export = store.sales_csv(spark, sf_small).removeprefix("file:")
+    files = [f for f in os.listdir(export) if f.startswith("part-")]
+    text = sum(map(len, spark.read.text(export).toPandas()["value"]))
+    assert len(files) > fact.count() // 500 // 2
+    assert sum(os.path.getsize(f"{export}/{f}") for f in files) < text / 2
+    loaded = store.csv_table(spark, sf_small)
+    assert _rows(loaded) == _rows(fact)
+
+
 def test_rewritten_input_is_read_again(spark, sf_small, tmp_path):
     for t in star.STAR_TABLES:
         shutil.copy(f"{sf_small}/{t}.parquet", tmp_path / f"{t}.parquet")
