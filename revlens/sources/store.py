@@ -137,7 +137,7 @@ def drop_tables(spark: SparkSession, sf_dir: str | None = None) -> None:
 
 
 def sales_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Path of a header CSV export of the raw fact (written once per session, gzipped), the input
+    """Path of a header CSV export of the raw fact (written once per session, compressed), the input
     format of the reference's load step; read it with ``sources.load_csv``."""
     from revlens.sources.csv import write_csv
 
